@@ -33,7 +33,7 @@ def query(run: Query) -> Query:
 
 def _lines_folder(spark: SparkSession, sf_dir: str) -> str:
     folder = new_folder(spark, "lines")
-    samples.project_lines(spark, sf_dir).write.text(folder)
+    samples.project_lines(spark, sf_dir).repartition("value").write.text(folder)
     return folder
 
 

@@ -21,27 +21,44 @@ NULL_MARK = "\\N"
 _FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"\s*+|[^",][^,]*+|)'
 STRICT_RECORD = rf"^{_FIELD}(?:,{_FIELD})*+\z"
 
+# Spark's CSV parser fails on more than 20,480 columns, so it gets the leading ones of a line
+# that is long enough to have as many. Later columns are not used.
+_LEADING_FIELDS = rf"^{_FIELD}(?:,{_FIELD}){{0,9}}+"
+_LONG_LINE = 20_000
+
 _INTEGER = r"^[+-]?[0-9]+\z"
-_DATE_TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} (?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]\z"
+_DATE_TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}\z"
+
+
+def leading_fields(line: Column) -> Column:
+    """The line, or at least its first ten fields if it is very long."""
+    cut = F.regexp_extract(line, _LEADING_FIELDS, 0)
+    return F.when(F.length(line) > _LONG_LINE, cut).otherwise(line)
 
 
 def trim_controls(text: Column) -> Column:
     """Strip blanks and control characters (all up to U+0020) from both ends."""
-    return F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+\z", "")
+    return F.btrim(text, F.lit("".join(map(chr, range(0x21)))))
+
 
+def _url_rest(url: Column) -> Column:
+    return F.substring(url, URL_PREFIX_LENGTH + 1, 2**31 - 1)
 
-def _url_part(url: Column, position: int) -> Column:
-    parts = F.split(F.substring(url, URL_PREFIX_LENGTH + 1, 2**31 - 1), "/")
-    return F.nullif(trim_controls(F.try_element_at(parts, F.lit(position))), F.lit(""))
+
+def _name(text: Column) -> Column:
+    return F.nullif(trim_controls(text), F.lit(""))
 
 
 def url_owner(url: Column) -> Column:
-    """Owner named by a repository url; later segments than the repository are ignored."""
-    return _url_part(url, 1)
+    """Owner named by a repository url, null if it names none."""
+    return _name(F.substring_index(_url_rest(url), "/", 1))
 
 
 def url_repo(url: Column) -> Column:
-    return _url_part(url, 2)
+    """Repository named by a url; what follows its name is ignored."""
+    rest = _url_rest(url)
+    second = F.substring_index(F.substring_index(rest, "/", 2), "/", -1)
+    return F.when(rest.contains("/"), _name(second))
 
 
 def language_id(language: Column, languages: Iterable[str] | None = None) -> Column:
@@ -58,7 +75,8 @@ def language_id(language: Column, languages: Iterable[str] | None = None) -> Col
 
 def deleted_flag(deleted: Column) -> Column:
     """True for the integer 1, false for any other integer, null for other text."""
-    return F.when(deleted.rlike(_INTEGER), deleted.try_cast("int") == 1)
+    integer = F.when(deleted.rlike(_INTEGER), deleted.try_cast("int"))
+    return F.when(deleted == "0", False).when(deleted == "1", True).otherwise(integer == 1)
 
 
 def forked_flag(forked_from: Column) -> Column:
@@ -68,10 +86,5 @@ def forked_flag(forked_from: Column) -> Column:
 
 def created_ms(created_at: Column) -> Column:
     """``yyyy-MM-dd HH:mm:ss`` in UTC as epoch milliseconds, whatever the session's zone."""
-    days = F.unix_date(F.substring(created_at, 1, 10).try_cast("date"))
-
-    def number(start: int) -> Column:
-        return F.substring(created_at, start, 2).try_cast("long")
-
-    seconds = days.cast("long") * 86400 + number(12) * 3600 + number(15) * 60 + number(18)
-    return F.when(created_at.rlike(_DATE_TIME), seconds * 1000)
+    instant = F.concat(created_at, F.lit("Z")).try_cast("timestamp")
+    return F.when(created_at.rlike(_DATE_TIME), F.unix_millis(instant))

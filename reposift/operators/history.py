@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from reposift.functions.paths import has_extension
 from reposift.operators.ordering import GROUP_ROWS_PER_TASK, number_rows
+from reposift.session import written_table
 
 REPO = ["owner", "repo"]
 OLDEST_FIRST = ("commit_time_s", "commit_id")
@@ -71,7 +72,8 @@ def snapshot_changes(
 
     Rows are grouped by file and by runs of ``per_group`` snapshots, so neither a giant
     repository nor a file with a giant history ends in one task. The last row of a run is
-    copied to the next run, where it serves as the previous snapshot.
+    copied to the next run, where it serves as the previous snapshot. The numbered log, which
+    is small beside the snapshots, is written once and used twice.
     """
     order = list(order)
     log = readable_commits(commits).select(
@@ -83,13 +85,13 @@ def snapshot_changes(
     if not unique:
         rest = [c for c in log.columns if c not in [*REPO, "commit_id"]]
         log = log.groupBy(*REPO, "commit_id").agg(*[F.min(c).alias(c) for c in rest])
-        files = files.groupBy(*REPO, "commit_id", "path").agg(F.max("hash_code").alias("hash_code"))
-    log = number_rows(log, REPO, order, max_group)
+        files = files.dropDuplicates()
+    log = written_table(number_rows(log, REPO, order, max_group), "log")
 
     # Only the position travels with the file rows; commit details are joined to the changes.
     position, last = F.col("position"), F.col("group_rows")
-    run = F.floor(position / per_group)
-    next_run = F.floor((position + 1) / per_group)
+    run = F.expr(f"position div {per_group}")
+    next_run = F.expr(f"(position + 1) div {per_group}")
     located = files.join(log.select(*REPO, "commit_id", "position", "group_rows"), [*REPO, "commit_id"])
     placed = located.select(
         *REPO,
@@ -104,7 +106,13 @@ def snapshot_changes(
         ).alias("run"),
     )
 
-    along = Window.partitionBy(*REPO, "path", "run").orderBy("position")
+    along = Window.partitionBy(*REPO, "path", "run").orderBy("position", "hash_code")
+    if not unique:
+        # Exact copies are gone; of several hashes in one snapshot the last is kept.
+        following = F.lead("position").over(along)
+        placed = placed.withColumn("following", following).filter(
+            F.col("following").isNull() | (F.col("following") != position)
+        )
     seen = placed.select(
         "*",
         F.lag("position").over(along).alias("prev_position"),

@@ -30,14 +30,16 @@ _CSV_OPTIONS = {"quote": '"', "escape": '"'}
 DEFAULT_FILTERS = "filterDeleted,filterForked"
 
 
+def _fields_of(line: Column) -> Column:
+    return F.from_csv(fields.leading_fields(line), _LINE_SCHEMA, _CSV_OPTIONS)
+
+
 def split_lines(lines: DataFrame) -> DataFrame:
     """Fields of every line of column ``value``, next to the line; no line is dropped.
 
     ``inline`` keeps Catalyst from copying ``from_csv`` into each later filter.
     """
-    return lines.select(
-        "value", F.inline(F.array(F.from_csv("value", _LINE_SCHEMA, _CSV_OPTIONS)))
-    )
+    return lines.select("value", F.inline(F.array(_fields_of(F.col("value")))))
 
 
 def _record(languages: Iterable[str] | None) -> dict[str, Column]:
@@ -63,7 +65,9 @@ def parse_projects(lines: DataFrame, languages: Sequence[str] | None = None) ->
         names_language = names_language | F.col("value").contains(language)
     strict = lines.filter(names_language & F.col("value").rlike(fields.STRICT_RECORD))
     record = _record(wanted)
-    parsed = split_lines(strict).select(*[e.alias(name) for name, e in record.items()])
+    # The record is built in a generator too, so the null test does not evaluate it again.
+    row = F.struct(*[value.alias(name) for name, value in record.items()])
+    parsed = split_lines(strict).select(F.inline(F.array(row)))
     return parsed.dropna(subset=PROJECT.fieldNames())
 
 
