@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local master, where driver and executors are one process, may fall back on a
     temporary folder of the machine.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     application = spark.sparkContext.applicationId
     if configured:
         return f"{configured.rstrip('/')}/reposift/{application}"
