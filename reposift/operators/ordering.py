@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from reposift.session import written_table
 
-# Largest group one task may sort, and largest result one task may gather.
+# Most rows of a group that one task may sort, and most rows that one task may gather.
 GROUP_ROWS_PER_TASK = 1_000_000
-LIMIT_ROWS_PER_TASK = 100_000
+GATHERED_ROWS = 1_000_000
+
+_BYTES_PER_TASK = 128 * 1024 * 1024
 
 
 def number_rows(
@@ -75,20 +77,23 @@ def _number_by_range(df: DataFrame, keys: list[str], order: list[str]) -> DataFr
     )
 
 
+def _tasks(df: DataFrame) -> int:
+    """How many tasks will read ``df``, by the planner's estimate of its size."""
+    statistics = df._jdf.queryExecution().optimizedPlan().stats()
+    return int(str(statistics.sizeInBytes())) // _BYTES_PER_TASK + 1
+
+
 def first_rows(
-    df: DataFrame,
-    n: int,
-    order: Sequence[str],
-    max_gathered: int = LIMIT_ROWS_PER_TASK,
+    df: DataFrame, n: int, order: Sequence[str], max_gathered: int = GATHERED_ROWS
 ) -> DataFrame:
     """The first ``n`` rows by ``order``; rows that tie on ``order`` are interchangeable.
 
-    A small ``n`` is a top-n per task and a merge of those. A large one would gather ``n``
-    rows in one task, so positions are computed in parallel instead.
+    Usually each task keeps its first ``n`` rows and one task merges those of all. Where that
+    would be more than ``max_gathered`` rows, positions are computed in parallel instead.
     """
     if n < 0:
         raise ValueError("the number of rows must not be negative")
-    if n <= max_gathered:
+    if n * _tasks(df) <= max_gathered:
         return df.orderBy(*order).limit(n)
     # The last column tells copies apart, so that many copies of a row can be split.
     told_apart = df.withColumn("_copy", F.monotonically_increasing_id())

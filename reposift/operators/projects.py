@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reposift.functions import projects as fields
-from reposift.operators.ordering import LIMIT_ROWS_PER_TASK, first_rows
+from reposift.operators.ordering import GATHERED_ROWS, first_rows
 from reposift.schemas import PROJECT
 
 LINE_FIELDS = (
@@ -101,7 +101,7 @@ def filter_top_n(
     projects: DataFrame,
     n: int,
     order: Sequence[str] | None = None,
-    max_gathered: int = LIMIT_ROWS_PER_TASK,
+    max_gathered: int = GATHERED_ROWS,
 ) -> DataFrame:
     """At most ``n`` projects: the first by ``order``, by default all columns."""
     return first_rows(projects, n, order or projects.columns, max_gathered)

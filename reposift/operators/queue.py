@@ -16,7 +16,7 @@ from reposift.functions.status import (
     is_pending,
     like_any,
 )
-from reposift.operators.ordering import LIMIT_ROWS_PER_TASK, first_rows
+from reposift.operators.ordering import GATHERED_ROWS, first_rows
 from reposift.schemas import QUEUE, QUEUE_KEY
 
 
@@ -85,7 +85,7 @@ def claim(
     queue: DataFrame,
     token: int | str,
     limit: int | None = 1000,
-    max_gathered: int = LIMIT_ROWS_PER_TASK,
+    max_gathered: int = GATHERED_ROWS,
 ) -> DataFrame:
     """Stamp the first ``limit`` pending rows by (owner, repo) with ``token``.
 

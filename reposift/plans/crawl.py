@@ -19,27 +19,35 @@ from reposift.sources.run_store import store_records
 BATCH_REPOSITORIES = 20_000
 
 
-def of_batch(rows: DataFrame, batch: DataFrame) -> DataFrame:
-    """Rows whose repository is in the batch.
+Rows = Callable[[DataFrame], DataFrame]
+
+
+def rows_of(batch: DataFrame) -> Rows:
+    """A function that keeps the rows whose repository is in the batch.
 
     A batch is a range of the queue's order, so its first and last owner bound the owners it
     needs: on tables clustered by owner the scan skips all other files and row groups.
     """
     low, high = batch.agg(F.min("owner"), F.max("owner")).first()
-    near = rows.filter(F.col("owner").between(F.lit(low), F.lit(high)))
-    return near.join(batch, REPO, "left_semi")
+
+    def of(rows: DataFrame) -> DataFrame:
+        near = rows.filter(F.col("owner").between(F.lit(low), F.lit(high)))
+        return near.join(batch, REPO, "left_semi")
+
+    return of
 
 
 def _crawl(
     spark: SparkSession,
     store: str,
     split: str,
-    extract: Callable[[DataFrame], DataFrame],
+    commits: DataFrame,
+    extract: Callable[[Rows], DataFrame],
     failures: DataFrame | None,
     limit: int | None,
     token: int | None,
-    element_errors: Callable[[DataFrame], DataFrame | None],
 ) -> bool:
+    """One turn of a crawl. ``extract`` gets the function that selects the rows of the batch."""
     queue = read_queue(spark, store)
     if queue.filter(is_pending()).isEmpty():
         return False
@@ -48,18 +56,18 @@ def _crawl(
     batch = written_table(claimed(queue, token), "batch")
     if batch.isEmpty():
         return False
+    of_batch = rows_of(batch)
 
-    good = batch
+    of_good = of_batch
     if failures is not None:
-        failures = of_batch(failures, batch)
+        failures = of_batch(failures)
         good = written_table(batch.join(failures, REPO, "left_anti"), "good")
-    if not good.isEmpty():
-        store_records(extract(good), store, split, token)
-        errors = element_errors(good)
-        if errors is not None:
-            log_errors(errors, store, token)
+        of_good = rows_of(good)
+    store_records(extract(of_good), store, split, token)
+    if "error" in commits.columns:
+        log_errors(of_good(commits).filter(F.col("error").isNotNull()), store, token)
 
-    # As every claimed repository ends here, failed ones are completed as well.
+    # The whole batch ends here, so failed repositories are completed as well.
     if failures is not None:
         seq = "seq" if "seq" in failures.columns else None
         queue = mark_error(queue, failures, seq)
@@ -67,16 +75,6 @@ def _crawl(
     return True
 
 
-def _commit_errors(commits: DataFrame) -> Callable[[DataFrame], DataFrame | None]:
-    def of(batch: DataFrame) -> DataFrame | None:
-        if "error" not in commits.columns:
-            return None
-        bad = of_batch(commits, batch).filter(F.col("error").isNotNull())
-        return bad.select(*REPO, "error")
-
-    return of
-
-
 def crawl_commit_messages(
     spark: SparkSession,
     store: str,
@@ -93,12 +91,10 @@ def crawl_commit_messages(
     all pending repositories at once.
     """
 
-    def extract(batch: DataFrame) -> DataFrame:
-        return commit_messages(of_batch(commits, batch))
+    def extract(of_good: Rows) -> DataFrame:
+        return commit_messages(of_good(commits))
 
-    return _crawl(
-        spark, store, "COMMIT_MESSAGES", extract, failures, limit, token, _commit_errors(commits)
-    )
+    return _crawl(spark, store, "COMMIT_MESSAGES", commits, extract, failures, limit, token)
 
 
 def crawl_file_history(
@@ -117,14 +113,10 @@ def crawl_file_history(
     ``options`` are those of :func:`reposift.operators.history.snapshot_changes`.
     """
 
-    def extract(batch: DataFrame) -> DataFrame:
-        return file_history(
-            of_batch(commits, batch), of_batch(snapshots, batch), extensions, **options
-        )
+    def extract(of_good: Rows) -> DataFrame:
+        return file_history(of_good(commits), of_good(snapshots), extensions, **options)
 
-    return _crawl(
-        spark, store, "FILE_METADATA", extract, failures, limit, token, _commit_errors(commits)
-    )
+    return _crawl(spark, store, "FILE_METADATA", commits, extract, failures, limit, token)
 
 
 def drain(turn: Callable[[], bool]) -> int:

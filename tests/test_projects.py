@@ -3,6 +3,7 @@ import pytest
 from reposift.operators import projects as p
 from reposift.plans.project_load import load_project_queue, pairs_of_lines
 from reposift.schemas import PROJECT
+from reposift.session import written_table
 from tests.conftest import rows
 
 PREFIX = "https://api.github.com/repos/"
@@ -199,5 +200,12 @@ def test_plan_parses_each_line_once(spark):
 
 
 def test_small_limit_takes_the_first_rows_of_each_task(spark):
-    plan = p.filter_top_n(project_rows(spark), 2)._jdf.queryExecution().executedPlan().toString()
+    stored = written_table(project_rows(spark), "projects")
+    plan = p.filter_top_n(stored, 2)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_limit_that_is_large_for_its_input_is_not_gathered(spark):
+    stored = written_table(project_rows(spark), "projects")
+    plan = p.filter_top_n(stored, 3, max_gathered=2)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" not in plan

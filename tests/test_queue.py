@@ -105,9 +105,11 @@ def test_claims_are_disjoint_and_complete(spark):
     assert len(seen) == len(set(seen)) == 50
 
 
-def test_claim_needs_no_join_or_shuffle(spark):
-    plan = q.claim(sample(spark), 1, 3)._jdf.queryExecution().optimizedPlan().toString()
+def test_claim_of_a_stored_queue_needs_no_join(spark, store):
+    stored = queue_table.publish_queue(sample(spark), store)
+    plan = q.claim(stored, 1, 3)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+    assert "TakeOrderedAndProject" in plan
 
 
 def test_mark_completed(spark):
