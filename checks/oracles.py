@@ -338,7 +338,12 @@ select hash_code from requests where hash_code not in (select hash_code from blo
 select * from blobs where hash_code not in (select hash_code from labelled)""",
     "dedup_latest": f"""with {BLOBS}
 select max(doc_id) as doc_id, hash_code, contents from blobs group by hash_code, contents""",
-    "crawl_commit_messages": f"""with {MESSAGES}, {FAILURES}, {BATCH}
+    "crawl_commit_messages": f"""with {MESSAGES}, {FAILURES}
+select messages.*, cast({_TOKEN} as bigint) as run
+from messages
+where not exists (
+  select 1 from failures where failures.owner = repo_owner and failures.repo = repository)""",
+    "crawl_commit_messages_in_batch": f"""with {MESSAGES}, {FAILURES}, {BATCH}
 select messages.*, cast({_TOKEN} as bigint) as run
 from messages join batch on repo_owner = batch.owner and repository = batch.repo
 where not exists (

@@ -546,30 +546,37 @@ def _crawl_store(spark, repos):
     return store
 
 
-def _crawl_messages(spark, sf_dir):
+def _crawl_messages(spark, sf_dir, limit):
     log = samples.commits(spark, sf_dir)
     store = _crawl_store(spark, log)
     failures = samples.crawl_failures(spark, sf_dir)
-    crawl.crawl_commit_messages(spark, store, log, failures, limit=2000, token=TOKEN)
+    crawl.crawl_commit_messages(spark, store, log, failures, limit=limit, token=TOKEN)
     return store
 
 
 @query
 def crawl_commit_messages(spark, sf_dir):
-    store = _crawl_messages(spark, sf_dir)
+    store = _crawl_messages(spark, sf_dir, None)
+    return run_store.read_runs(spark, store, "COMMIT_MESSAGES", all_columns=True)
+
+
+@query
+def crawl_commit_messages_in_batch(spark, sf_dir):
+    store = _crawl_messages(spark, sf_dir, 2000)
     return run_store.read_runs(spark, store, "COMMIT_MESSAGES", all_columns=True)
 
 
 @query
 def crawl_commit_messages_marks(spark, sf_dir):
-    return queue_table.read_queue(spark, _crawl_messages(spark, sf_dir))
+    return queue_table.read_queue(spark, _crawl_messages(spark, sf_dir, 2000))
 
 
 @query
 def crawl_file_history(spark, sf_dir):
     log = samples.snapshot_commits(spark, sf_dir)
     store = _crawl_store(spark, log)
-    crawl.crawl_file_history(spark, store, log, samples.snapshots(spark, sf_dir), token=TOKEN)
+    files = samples.snapshots(spark, sf_dir)
+    crawl.crawl_file_history(spark, store, log, files, limit=None, token=TOKEN)
     return run_store.read_runs(spark, store, "FILE_METADATA", all_columns=True)
 
 

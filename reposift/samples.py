@@ -180,6 +180,7 @@ def attempts(spark: SparkSession, sf_dir: str, at_most: int = 3) -> DataFrame:
     )
 
 
+@_once
 def queue_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of queue rows, one per line item in order of ``seq``; some are null."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
