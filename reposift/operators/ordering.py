@@ -71,9 +71,18 @@ def _number_by_range(df: DataFrame, keys: list[str], order: list[str]) -> DataFr
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
         F.sum("_rows").over(group).alias("group_rows"),
     )
+    same = F.col("row._piece") == F.col("part._piece")
+    for key in keys:
+        same = same & F.col(f"row.`{key}`").eqNullSafe(F.col(f"part.`{key}`"))
     position = F.col("_before") + F.col("_seat") - F.col("_first_seat") + 1
-    return rows.join(pieces, [*keys, "_piece"]).select(
-        *df.columns, position.alias("position"), "group_rows"
+    return (
+        rows.alias("row")
+        .join(pieces.alias("part"), same)
+        .select(
+            *[F.col(f"row.`{c}`") for c in df.columns],
+            position.alias("position"),
+            "group_rows",
+        )
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reposift.functions.status import is_pending
 from reposift.operators.history import REPO, commit_messages, file_history
 from reposift.operators.queue import claim, claimed, mark_completed, mark_error
-from reposift.session import run_token, written_table
+from reposift.session import passing_tables, run_token, written_table
 from reposift.sources.error_log import log_errors
 from reposift.sources.queue_table import publish_queue, read_queue
 from reposift.sources.run_store import store_records
@@ -52,26 +52,27 @@ def _crawl(
     if queue.filter(is_pending()).isEmpty():
         return False
     token = run_token() if token is None else token
-    queue = publish_queue(claim(queue, token, limit), store)
-    batch = written_table(claimed(queue, token), "batch")
-    if batch.isEmpty():
-        return False
-    of_batch = rows_of(batch)
-
-    of_good = of_batch
-    if failures is not None:
-        failures = of_batch(failures)
-        good = written_table(batch.join(failures, REPO, "left_anti"), "good")
-        of_good = rows_of(good)
-    store_records(extract(of_good), store, split, token)
-    if "error" in commits.columns:
-        log_errors(of_good(commits).filter(F.col("error").isNotNull()), store, token)
-
-    # The whole batch ends here, so failed repositories are completed as well.
-    if failures is not None:
-        seq = "seq" if "seq" in failures.columns else None
-        queue = mark_error(queue, failures, seq)
-    publish_queue(mark_completed(queue, batch, token), store)
+    with passing_tables(spark):
+        queue = publish_queue(claim(queue, token, limit), store)
+        batch = written_table(claimed(queue, token), "batch")
+        if batch.isEmpty():
+            return False
+        of_batch = rows_of(batch)
+
+        of_good = of_batch
+        if failures is not None:
+            failures = of_batch(failures)
+            failed = failures.select(*REPO).dropDuplicates()
+            of_good = rows_of(written_table(batch.join(failed, REPO, "left_anti"), "good"))
+        store_records(extract(of_good), store, split, token)
+        if "error" in commits.columns:
+            log_errors(of_good(commits).filter(F.col("error").isNotNull()), store, token)
+
+        # The whole batch ends here, so failed repositories are completed as well.
+        if failures is not None:
+            seq = "seq" if "seq" in failures.columns else None
+            queue = mark_error(queue, failures, seq)
+        publish_queue(mark_completed(queue, batch, token), store)
     return True
 
 

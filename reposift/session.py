@@ -5,9 +5,14 @@ from __future__ import annotations
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reposift.sources.folders import delete
+
 
 def local_session(cores: int | str = "*", memory: str = "8g", **conf: str) -> SparkSession:
     """A single-JVM session for tests and benchmarks. Clusters bring their own session."""
@@ -50,9 +55,27 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[application]
 
 
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """Path of a folder below the shared one that nobody else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_scope.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end what :func:`written_table` wrote inside.
+
+    Results that are lazy must be stored inside too.
+    """
+    folder = new_folder(spark, "passing")
+    outer = _scope.set(folder)
+    try:
+        yield
+    finally:
+        _scope.reset(outer)
+        delete(spark, folder)
 
 
 def written_table(df: DataFrame, name: str) -> DataFrame:

@@ -152,7 +152,7 @@ def test_large_repositories_and_histories_are_split(spark):
 
 @pytest.mark.parametrize("largest", [1, 10, 1000])
 def test_numbering(spark, largest):
-    data = [("hot", n) for n in range(400)] + [(f"k{n}", n) for n in range(60)]
+    data = [("hot", n) for n in range(400)] + [(f"k{n}", n) for n in range(60)] + [(None, 7)]
     df = spark.createDataFrame(data, "k string, n long").repartition(7)
     numbered = number_rows(df, ["k"], ["n"], largest)
     got = {(r.k, r.n): (r.position, r.group_rows) for r in numbered.collect()}

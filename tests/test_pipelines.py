@@ -7,8 +7,8 @@ from reposift.operators import queue as q
 from reposift.operators import report
 from reposift.plans import crawl
 from reposift.plans.contents import crawl_file_contents, wanted_hashes
-from reposift.session import shared_dir
-from reposift.sources import error_log, run_store
+from reposift.session import new_folder, passing_tables, shared_dir, written_table
+from reposift.sources import error_log, folders, run_store
 from reposift.sources.queue_table import publish_queue, queue_versions, read_queue
 from reposift.streaming.ingest import ingest_project_lines
 from tests.conftest import rows
@@ -41,6 +41,15 @@ def test_crawl_messages(spark, store):
     assert stored.count() == 6
 
 
+def test_passing_tables_are_removed(spark):
+    with passing_tables(spark):
+        table = written_table(spark.range(3), "t")
+        folder = new_folder(spark, "x").rsplit("/", 1)[0]
+        assert table.count() == 3 and folders.exists(spark, folder)
+    assert not folders.exists(spark, folder)
+    assert new_folder(spark, "x").rsplit("/", 1)[0] == shared_dir(spark)
+
+
 def test_failures_and_bad_commits(spark, store):
     log = commits(spark).withColumn("error", F.when(F.col("commit_id") == "c1-1", "bad commit"))
     start(spark, store, log)
