@@ -22,16 +22,21 @@ BATCH_REPOSITORIES = 20_000
 Rows = Callable[[DataFrame], DataFrame]
 
 
-def rows_of(batch: DataFrame) -> Rows:
+def owner_range(batch: DataFrame) -> tuple[str, str] | None:
+    """First and last owner of a batch; None if it is empty."""
+    low, high = batch.agg(F.min("owner"), F.max("owner")).first()
+    return None if low is None else (low, high)
+
+
+def rows_of(batch: DataFrame, owners: tuple[str, str]) -> Rows:
     """A function that keeps the rows whose repository is in the batch.
 
     A batch is a range of the queue's order, so its first and last owner bound the owners it
     needs: on tables clustered by owner the scan skips all other files and row groups.
     """
-    low, high = batch.agg(F.min("owner"), F.max("owner")).first()
 
     def of(rows: DataFrame) -> DataFrame:
-        near = rows.filter(F.col("owner").between(F.lit(low), F.lit(high)))
+        near = rows.filter(F.col("owner").between(*map(F.lit, owners)))
         return near.join(batch, REPO, "left_semi")
 
     return of
@@ -55,15 +60,17 @@ def _crawl(
     with passing_tables(spark):
         queue = publish_queue(claim(queue, token, limit), store)
         batch = written_table(claimed(queue, token), "batch")
-        if batch.isEmpty():
+        owners = owner_range(batch)
+        if owners is None:
             return False
-        of_batch = rows_of(batch)
+        of_batch = rows_of(batch, owners)
 
         of_good = of_batch
         if failures is not None:
             failures = of_batch(failures)
             failed = failures.select(*REPO).dropDuplicates()
-            of_good = rows_of(written_table(batch.join(failed, REPO, "left_anti"), "good"))
+            good = written_table(batch.join(failed, REPO, "left_anti"), "good")
+            of_good = rows_of(good, owners)
         store_records(extract(of_good), store, split, token)
         if "error" in commits.columns:
             log_errors(of_good(commits).filter(F.col("error").isNotNull()), store, token)

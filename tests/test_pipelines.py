@@ -122,7 +122,7 @@ def test_batch_bounds_reach_the_scan(spark, tmp_path):
     commits(spark).write.parquet(str(tmp_path / "log"))
     stored = spark.read.parquet(str(tmp_path / "log"))
     batch = spark.createDataFrame([("o2", "r"), ("o3", "r")], "owner string, repo string")
-    near = crawl.rows_of(batch)(stored)
+    near = crawl.rows_of(batch, crawl.owner_range(batch))(stored)
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(owner,o2)" in plan and "LessThanOrEqual(owner,o3)" in plan
     assert near.count() == 6
