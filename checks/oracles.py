@@ -95,6 +95,11 @@ changes as (
   from pairs join months using (l_suppkey, n)
   where old_hash is distinct from new_hash)"""
 
+_READABLE = SNAPSHOTS.replace(
+    "(select distinct l_suppkey, month from listed)",
+    "(select distinct l_suppkey, month from listed where month % 12 <> 0)",
+)
+
 _RECORD = """select owner as repo_owner, repo as repository, tree_id, path as git_path,
     new_hash as hash_code, commit_id, commit_time_s from changes"""
 
@@ -238,6 +243,7 @@ select owner, repo, case when {_PENDING} then {_TOKEN} else checkout_id end as c
 from queue""",
     "claimed_batch": f"""with {QUEUE}
 select owner, repo from queue where {_PENDING} order by owner, repo limit 1000""",
+    "batch_is_empty": f"with {QUEUE} select count(*) = 0 as is_empty from queue where {_PENDING}",
     "mark_completed": f"""with {QUEUE}, hits as (select distinct l_orderkey from lineitem)
 select owner, repo, case when l_orderkey is null then checkout_id else {_TOKEN} end
     as checkout_id,
@@ -269,6 +275,9 @@ select owner, repo, error, cast({_TOKEN} as bigint) as run from errors""",
 select *, {_NUMBERED.format('seq')} from commits""",
     "scan_commits_of_large_repos": f"""with {COMMITS}
 select *, {_NUMBERED.format('commit_id')} from commits""",
+    "messages_of_readable_commits": f"""with {MESSAGES}
+select * from messages where long_message <> '5-LOW'""",
+    "file_history_with_unreadable_commits": f"with {_READABLE} {_RECORD}",
     "commit_messages": f"with {MESSAGES} select * from messages",
     "change_records": f"with {DIFFS} select * from diffs",
     "file_extension": f"""with paths as ({_PATHS})

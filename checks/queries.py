@@ -278,6 +278,12 @@ def claimed_batch(spark, sf_dir):
     return queue.claimed(queue.claim(samples.queue(spark, sf_dir), TOKEN, 1000), TOKEN)
 
 
+@query
+def batch_is_empty(spark, sf_dir):
+    empty = samples.queue(spark, sf_dir).filter(status.is_pending()).isEmpty()
+    return spark.range(1).select(F.lit(empty).alias("is_empty"))
+
+
 @query
 def mark_completed(spark, sf_dir):
     pairs = samples.queue_errors(spark, sf_dir).select("owner", "repo")
@@ -330,6 +336,23 @@ def scan_commits_of_large_repos(spark, sf_dir):
     return history.scan_commits(samples.commits(spark, sf_dir), max_group=1)
 
 
+def _with_errors(log, unreadable):
+    return log.withColumn("error", F.when(unreadable, F.lit("missing object")))
+
+
+@query
+def messages_of_readable_commits(spark, sf_dir):
+    log = samples.commits(spark, sf_dir)
+    return history.commit_messages(_with_errors(log, F.col("message") == "5-LOW"))
+
+
+@query
+def file_history_with_unreadable_commits(spark, sf_dir):
+    december = F.substring("commit_id", -2, 2) == "12"
+    log = _with_errors(samples.snapshot_commits(spark, sf_dir), december)
+    return history.file_history(log, samples.snapshots(spark, sf_dir))
+
+
 @query
 def commit_messages(spark, sf_dir):
     return history.commit_messages(samples.commits(spark, sf_dir))

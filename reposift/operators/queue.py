@@ -20,11 +20,12 @@ from reposift.operators.ordering import GATHERED_ROWS, first_rows
 from reposift.schemas import QUEUE, QUEUE_KEY
 
 
-def _key(ignore_case: bool) -> list[Column]:
-    return [F.lower(k).alias(f"_{k}") if ignore_case else F.col(k).alias(f"_{k}") for k in QUEUE_KEY]
+_KEY_NAMES = [f"_{k}" for k in QUEUE_KEY]
 
 
-_KEY_NAMES = [f"_{k}" for k in QUEUE_KEY]
+def _key(ignore_case: bool) -> list[Column]:
+    parts = [F.lower(k) if ignore_case else F.col(k) for k in QUEUE_KEY]
+    return [part.alias(name) for part, name in zip(parts, _KEY_NAMES)]
 
 
 def new_queue(pairs: DataFrame, ignore_case: bool = False) -> DataFrame:
@@ -73,12 +74,11 @@ def _update(
     joined = queue.withColumns(dict(zip(_KEY_NAMES, _key(ignore_case)))).join(
         changes.withColumn("_hit", F.lit(True)), _KEY_NAMES, "left"
     )
-    return joined.select(
-        *[
-            F.when(hit, assignments[c]).otherwise(F.col(c)).alias(c) if c in assignments else F.col(c)
-            for c in QUEUE.fieldNames()
-        ]
-    )
+    updated = {
+        column: F.when(hit, value).otherwise(F.col(column))
+        for column, value in assignments.items()
+    }
+    return joined.withColumns(updated).select(*QUEUE.fieldNames())
 
 
 def claim(

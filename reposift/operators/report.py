@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reposift.functions.status import (
@@ -13,7 +13,7 @@ from reposift.functions.status import (
 )
 
 
-def _count() -> F.Column:
+def _count() -> Column:
     return F.count(F.lit(1)).alias("count")
 
 
@@ -48,7 +48,7 @@ def queue_report(queue: DataFrame, time: str, ignore_case: bool = False) -> Data
     )
     counted = queue.groupBy(status.alias("status"), detail.alias("details")).agg(_count())
 
-    def row(section: int, details: F.Column) -> F.Column:
+    def row(section: int, details: Column) -> Column:
         return F.struct(F.lit(section).alias("section"), details.alias("details"))
 
     total = row(1, F.lit(""))
