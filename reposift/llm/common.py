@@ -14,7 +14,7 @@ from reposift.session import new_folder
 ROOT = str(Path(__file__).resolve().parents[2])
 
 # Texts that a task turns into arrays at once, in characters.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -43,7 +43,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def chunks(batches: Iterator[pd.DataFrame], text: str = "text") -> Iterator[pd.DataFrame]:
     """Pieces of the batches of about :data:`CHUNK_CHARS` characters, at least one row each."""
     for batch in batches:
-        sizes = batch[text].str.len().fillna(0).to_numpy(dtype=np.int64).cumsum()
+        sizes = np.cumsum([0 if t is None else len(t) for t in batch[text]], dtype=np.int64)
         start = 0
         while start < len(batch):
             before = sizes[start - 1] if start else 0
@@ -79,16 +79,36 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def word_hashes(text: bytes, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes, start and end bytes of the words between the white space of ASCII."""
-    data = np.frombuffer(text.translate(_LOWER) if lower else text, dtype=np.uint8)
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes, start and end bytes of the words between the white space of ASCII.
+
+    A-Z count as lower case. Long texts are hashed block by block, cut at white space.
+    """
+    data = np.frombuffer(text.translate(_LOWER), dtype=np.uint8)
     edges = np.flatnonzero(np.diff(~_WHITE[data], prepend=False, append=False))
     starts, ends = edges[0::2], edges[1::2]
-    power, inverse = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * inverse[starts]
-    return mixed(hashes + (ends - starts).astype(np.uint64)), starts, ends
+    hashes = np.empty(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK_CHARS, "right")))
+        first, last = starts[at], ends[to - 1]
+        power, inverse = _powers(last - first + 1)
+        sums = np.zeros(last - first + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[data[first:last]] * power[: last - first], out=sums[1:])
+        s, e = starts[at:to] - first, ends[at:to] - first
+        hashes[at:to] = mixed((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
+        at = to
+    return hashes, starts, ends
+
+
+def words_of_texts(texts: list[bytes | None]) -> Iterator[np.ndarray]:
+    """Word hashes of each text, hashed together. Null has no words."""
+    sizes = np.array([0 if t is None else len(t) + 1 for t in texts], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    hashes, starts, _ = word_hashes(b"".join(t + b"\n" for t in texts if t is not None))
+    bounds = np.searchsorted(starts, np.concatenate(([0], ends)))
+    for i in range(len(texts)):
+        yield hashes[bounds[i] : bounds[i + 1]]
 
 
 _PLACE = mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reposift.llm.common import table
 from reposift.llm.exact_dedup import exact_duplicates
+from reposift.llm.near_dedup import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,3 +34,8 @@ select doc_id,
 from documents
 window same as (partition by coalesce(text, ''))
 """
+
+
+@query
+def op5_minhash_near_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
