@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reposift.llm.common import table
 from reposift.llm.exact_dedup import exact_duplicates
 from reposift.llm.near_dedup import near_duplicates
+from reposift.llm.packing import pack
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,3 +41,9 @@ window same as (partition by coalesce(text, ''))
 @query
 def op5_minhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_packing(spark, sf_dir):
+    pieces = pack(table(spark, sf_dir, "documents"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
