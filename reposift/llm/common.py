@@ -40,6 +40,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def chunks(batches: Iterator[pd.DataFrame], text: str = "text") -> Iterator[pd.DataFrame]:
     """Pieces of the batches of about :data:`CHUNK_CHARS` characters, at least one row each."""
     for batch in batches:

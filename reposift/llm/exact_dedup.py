@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reposift.llm.common import cut, ready
+from reposift.llm.common import cut, ready, unused
 
 SLOTS = 4
 MAX_KICKS = 128
@@ -196,8 +196,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
     decided = exact_duplicates(docs, id_col, text_col).filter("kept")
-    stays = decided.groupBy("keep_id").agg(F.max("ties").alias("_ties"))
-    known = docs.join(stays.select(F.col("keep_id").alias("_keep"), "_ties"), F.col(id_col).eqNullSafe(F.col("_keep")))
-    once = known.filter("_ties = 1").select(*docs.columns)
-    again = known.filter("_ties > 1").select(*docs.columns)
-    return once.unionByName(again.dropDuplicates([id_col, text_col]))
+    digest, keep, ties = (unused(docs, name) for name in ("digest", "keep", "ties"))
+    stays = decided.groupBy(F.col("text_sha256").alias(digest), F.col("keep_id").alias(keep)).agg(
+        F.max("ties").alias(ties)
+    )
+    rows = docs.withColumn(digest, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    known = rows.join(stays, [digest]).filter(F.col(id_col).eqNullSafe(F.col(keep)))
+    once = known.filter(F.col(ties) == 1).select(*docs.columns)
+    again = known.filter(F.col(ties) > 1)
+    return once.unionByName(again.dropDuplicates([digest]).select(*docs.columns))

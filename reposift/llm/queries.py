@@ -11,6 +11,7 @@ from reposift.llm.common import table
 from reposift.llm.exact_dedup import exact_duplicates
 from reposift.llm.near_dedup import near_duplicates
 from reposift.llm.packing import pack
+from reposift.llm.suffix_dedup import repeated_passages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,3 +48,8 @@ def op5_minhash_near_dedup(spark, sf_dir):
 def op1_packing(spark, sf_dir):
     pieces = pack(table(spark, sf_dir, "documents"))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+@query
+def op6_suffix_array_dedup(spark, sf_dir):
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("row")
