@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from reposift.llm.common import table
 from reposift.llm.exact_dedup import exact_duplicates
+from reposift.llm.language import fit_language_model, held_out, with_language
 from reposift.llm.near_dedup import near_duplicates
 from reposift.llm.packing import pack
 from reposift.llm.suffix_dedup import repeated_passages
+from reposift.llm.toxicity import fit_toxicity, with_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,3 +55,22 @@ def op1_packing(spark, sf_dir):
 @query
 def op6_suffix_array_dedup(spark, sf_dir):
     return repeated_passages(table(spark, sf_dir, "documents")).drop("row")
+
+
+@query
+def op4_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", "lang", held_out(F.col("doc_id"), 3, 1).alias("held_out")
+    )
+    model = fit_language_model(docs.filter("not held_out and doc_id is not null"))
+    return with_language(docs, model).drop("text", "lang")
+
+
+@query
+def op9_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", held_out(F.col("doc_id"), 5, 0).alias("held_out")
+    )
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"), 5, 0))
+    model = fit_toxicity(docs.filter("not held_out"), labels.select("doc_id", "toxic"))
+    return with_toxicity(docs, model).drop("text")
