@@ -14,6 +14,7 @@ from reposift.llm.near_dedup import near_duplicates
 from reposift.llm.packing import pack
 from reposift.llm.suffix_dedup import repeated_passages
 from reposift.llm.toxicity import fit_toxicity, with_toxicity
+from reposift.llm.word_bpe import with_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,3 +75,14 @@ def op9_toxicity(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id"), 5, 0))
     model = fit_toxicity(docs.filter("not held_out"), labels.select("doc_id", "toxic"))
     return with_toxicity(docs, model).drop("text")
+
+
+@query
+def op7_bpe(spark, sf_dir):
+    docs = with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
