@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reposift.llm.common import as_signed, chunks, cut, mixed, ready, unused, window_hashes, words_of_texts
+from reposift.llm.common import as_signed, chunks, cut, mixed, only, ready, unused, window_hashes, words_of_texts
 from reposift.llm.components import components
 
 WIDTH = 5
@@ -17,6 +17,8 @@ KEPT = 64  # values of a sketch
 FEW = 48  # sets of up to so many values can only link with sets whose sketch is complete
 LEAST = 0.45  # estimate from which pairs are confirmed; five deviations below the threshold
 NUMERATOR, DENOMINATOR = 75, 100
+RUNS = 3  # runs that a larger set shares at least; linked sets share fewer with odds of 1e-6
+SHORT = 8  # lists of so many classes at most are compared pair by pair
 LIGHT = 32  # shingles of so many open classes at most pair them all
 
 
@@ -120,62 +122,116 @@ def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _open_nodes(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Nodes of the lists that hold more than one component."""
-    known = _labelled(members.select("node", "key"), labels)
-    lists = known.groupBy("key").agg(F.min("component").alias("_least"), F.max("component").alias("_most"))
-    lists = lists.filter("_least < _most").select("key")
-    nodes = members.select("node", "key").join(lists, "key", "left_semi").select("node").distinct()
-    return _labelled(nodes, labels)
+def _paired(rows: DataFrame, key: str, *conditions) -> DataFrame:
+    """Pairs (a, b) of rows of one ``key`` in different components that meet the conditions."""
+    left, right = (
+        rows.select(key, *(F.col(c).alias(f"{c}_{side}") for c in rows.columns if c != key))
+        for side in "ab"
+    )
+    apart = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
+    for condition in conditions:
+        apart = apart & condition
+    pairs = left.join(right, key).filter(apart)
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def _open_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of ``nodes`` (node, component) in different components that can still link.
+def _members(postings: DataFrame) -> DataFrame:
+    """Rows (key, node, n, first, size) of the lists with more than one class.
 
-    Shingles that at most :data:`LIGHT` of the nodes have pair all nodes that share one. Pairs
-    without such a shingle share only frequent ones, of which both must have enough: the pair
-    needs 3/7 of both sizes in common. Of its ``heavy`` frequent shingles, a node can miss all
-    but 3/4 of its size, so both share one among their first ``heavy - 3/4 n + 1`` in the
-    order of frequency. A pair is made for the smallest such shingle only.
+    Classes that share too few runs with others to link are left out: in complete sketches of n
+    values, linked sets have n / 2 - 1 neighbours in common for certain.
     """
-    entries = cut(
-        nodes.join(sets, "node").select("node", "component", "n", F.explode("shingles").alias("shingle"))
-        .dropDuplicates(["node", "shingle"]),
-        "entries",
-    )
+    shared = postings.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"))
+    shared = cut(shared.filter("first < last").select("key"), "lists")
+    members = cut(postings.join(shared, "key"), "postings")
+    needed = F.when(F.col("n") <= FEW, F.ceil(F.col("n") / 2) - 1).otherwise(RUNS)
+    enough = members.groupBy("node", "n").agg(F.count(F.lit(1)).alias("runs")).filter(F.col("runs") >= needed)
+    members = members.join(enough.select("node"), "node")
+    lists = members.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("size"))
+    return cut(members.join(lists.filter("size > 1"), "key"), "members")
+
+
+def _rare_first(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of each of the ``nodes``: the shingles that it must share one of to link with another.
+
+    In the order of frequency among the nodes, linked sets share one of the first n / 4 + 1
+    shingles of both. What no other node has is counted and left out; ``light`` are those of at
+    most :data:`LIGHT` nodes. Two sets without a common light one have only frequent ones in
+    common, of which ``heavy`` is the number, so they share one among ``first``, the first
+    ``heavy - 3/4 n + 1`` of these.
+    """
+    entries = nodes.join(sets, "node").select("node", "n", F.explode("shingles").alias("shingle"))
+    entries = entries.dropDuplicates(["node", "shingle"]) if _repeated(sets) else entries
     counts = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    known = cut(entries.join(counts, "shingle"), "shared_entries")
+    known = entries.join(counts, "shingle").groupBy("node", "n").agg(
+        F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("known")
+    )
+    least = F.ceil(F.col("n") * NUMERATOR / DENOMINATOR)
+    light = F.filter("known", lambda x: x["df"] <= LIGHT)
+    known = known.filter(F.size("known") >= least).select(
+        "node",
+        "n",
+        (F.size("known") - F.size(light)).alias("heavy"),
+        F.filter(F.slice("known", 1, (F.size("known") - least + 1).cast("int")), lambda x: x["df"] <= LIGHT)[
+            "shingle"
+        ].alias("light"),
+        F.filter("known", lambda x: x["df"] > LIGHT)["shingle"].alias("frequent"),
+    )
+    spare = F.greatest(F.col("heavy") - least + 1, F.lit(0)).cast("int")
+    return cut(known.withColumn("first", F.slice("frequent", 1, spare)).drop("frequent"), "rare_first")
+
+
+def _repeated(sets: DataFrame) -> bool:
+    return not sets.groupBy("node").count().filter("count > 1").isEmpty()
+
 
-    def paired(rows: DataFrame, *conditions) -> DataFrame:
-        left, right = (
-            rows.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in rows.columns if c != "shingle"))
-            for side in "ab"
+def near_links(members: DataFrame, sketches: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links that give the same components as all links do, and these components."""
+    first = members.filter("node <> first").groupBy(F.col("first").alias("a"), F.col("node").alias("b"))
+    first = first.agg(F.count(F.lit(1)).alias("runs")).filter(F.col("runs") >= RUNS).select("a", "b")
+    links = _links(first, sketches, sets)
+    labels = components(links)
+
+    known = cut(_labelled(members.select("key", "size", "node", "n"), labels), "labelled")
+    lists = known.groupBy("key").agg(F.min("component").alias("_least"), F.max("component").alias("_most"))
+    lists = lists.filter("_least < _most").select("key")
+    open_ = cut(known.join(lists, "key", "left_semi"), "open_lists")
+    near = _similar(F.least("n_a", "n_b"))
+    short = _paired(open_.filter(F.col("size") <= SHORT).drop("size"), "key", near)
+    nodes = open_.filter(F.col("size") > SHORT).select("node").distinct()
+    rare = _rare_first(nodes, sets)
+
+    def by_shingle(column: str, labels: DataFrame) -> DataFrame:
+        return _labelled(rare.select("node", "n", "heavy", column), labels).withColumn(
+            "shingle", F.explode(column)
         )
-        apart = (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
-        for condition in conditions:
-            apart = apart & condition
-        return left.join(right, "shingle").filter(apart).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-
-    light = paired(
-        known.filter(F.col("df") <= LIGHT).select("shingle", "node", "component", "n"),
-        _similar(F.least("n_a", "n_b")),
+
+    light = _paired(
+        by_shingle("light", labels),
+        "shingle",
+        near,
+        F.array_min(F.array_intersect("light_a", "light_b")) == F.col("shingle"),
     )
-    spare = F.col("heavy") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1
-    heavy = (
-        known.filter(F.col("df") > LIGHT)
-        .groupBy("node", "component", "n")
-        .agg(F.count(F.lit(1)).alias("heavy"), F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("first"))
-        .filter(spare > 0)
-        .select("node", "component", "n", "heavy", F.slice("first.shingle", 1, spare.cast("int")).alias("first"))
+    # A class with few shingles of its own is near all classes of a large group that can link.
+    frequent = by_shingle("first", labels)
+    hubs = frequent.groupBy("shingle").agg(
+        F.max_by("node", F.col("heavy") / F.col("n")).alias("hub"), F.min("component").alias("_least"), F.max("component").alias("_most")
     )
-    heavy = cut(heavy, "heavy").withColumn("shingle", F.explode("first"))
-    common = F.array_intersect("first_a", "first_b")
-    frequent = paired(
-        heavy,
+    hubs = hubs.filter("_least < _most").select("shingle", "hub")
+    around = frequent.join(hubs, "shingle").filter("node <> hub")
+    around = around.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    more = short.unionByName(light).unionByName(around).distinct()
+    links = links.unionByName(_links(more, sketches, sets))
+    labels = components(links)
+
+    rest = _paired(
+        by_shingle("first", labels),
+        "shingle",
         _similar(F.least("heavy_a", "heavy_b")),
-        F.array_min(common) == F.col("shingle"),
+        F.array_min(F.array_intersect("first_a", "first_b")) == F.col("shingle"),
     )
-    return light.unionByName(frequent).distinct()
+    links = links.unionByName(_links(rest, sketches, sets))
+    return links, components(links)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,9 +240,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents link when ``100 * common >= 75 * union`` holds for their sets of 5-word shingles;
     ``component_id`` is the smallest id that links reach. Documents with equal sets are one
     class and enter the search as one. In each inverted list every class is compared with the
-    list's first one. Lists that this leaves with several components have their classes
-    compared by shared shingles (see :func:`_open_pairs`), which is exact, so a large group
-    costs about as many comparisons as it has members, and no list is cut short.
+    list's first one. Of lists that this leaves with several components, short ones are
+    compared pair by pair, and the classes of long ones by shared rare shingles (see
+    :func:`_rare_first`), which is exact; so a large group costs about as many comparisons as
+    it has members, and no list is cut short.
 
     Texts that are null, empty or without words link with nothing. Rows without an id take no
     part: their ``component_id`` is null and they are kept. Rows that repeat an id and a text
@@ -208,25 +265,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "classes"
     )
     reps = rows.filter("n > 2").select("doc_id", "node", "n", "sketch").join(classes, ["node", "doc_id"])
-    postings = reps.select("node", F.explode(_keys()).alias("key"))
-    shared = postings.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"))
-    shared = cut(shared.filter("first < last").drop("last"), "lists")
-    members = cut(postings.join(shared, "key"), "members")
+    members = _members(reps.select("node", "n", F.explode(_keys()).alias("key")))
     nodes = cut(members.select("node").distinct().join(classes, "node"), "nodes")
-    sketches = cut(reps.join(nodes.select("node"), "node", "left_semi"), "near_sketches")
+    sketches = cut(only(reps, nodes.select("node")), "near_sketches")
     found = (
-        texts.join(nodes.select("doc_id"), "doc_id", "left_semi")
+        only(texts, cut(nodes.select("doc_id").distinct(), "near_ids"))
         .select("text")
         .mapInPandas(_sets, "n long, sum long, xor long, shingles array<long>")
+        .select(node.alias("node"), "n", "shingles")
     )
-    sets = cut(found.select(node.alias("node"), "n", "shingles"), "sets")
-
-    first = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    links = _links(first.distinct(), sketches, sets)
-    labels = components(links)
-    open_nodes = cut(_open_nodes(members, labels), "open_nodes")
-    more = _links(_open_pairs(open_nodes, sets), sketches, sets)
-    labels = components(links.unionByName(more))
+    sets = cut(only(found, nodes.select("node")), "sets")
+    _, labels = near_links(members, sketches, sets)
 
     named = _labelled(classes.withColumnRenamed("doc_id", "_least"), labels)
     least = named.groupBy("component").agg(F.min("_least").alias("component_id"))

@@ -15,6 +15,7 @@ from reposift.llm.common import (
     chunks,
     cut,
     mixed,
+    only,
     ready,
     unused,
     window_hashes,
@@ -180,8 +181,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     seeds = keys.join(cut(neighbours, "neighbours"), "key").groupBy("row").agg(
         F.collect_set("key").alias("keys")
     )
+    seeds = cut(seeds, "seeds")
     found = (
-        texts.join(seeds, "row")
+        only(texts, seeds.select("row"))
+        .join(seeds, "row")
         .select("row", "doc_id", "text", "keys")
         .mapInPandas(_extended, "row long, doc_id long, starts array<int>, hashes array<long>")
     )
