@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposift.llm.common import table
+from reposift.llm.common import cut, table
 from reposift.llm.exact_dedup import exact_duplicates
 from reposift.llm.language import fit_language_model, held_out, with_language
 from reposift.llm.near_dedup import near_duplicates
@@ -15,6 +15,8 @@ from reposift.llm.packing import pack
 from reposift.llm.suffix_dedup import repeated_passages
 from reposift.llm.toxicity import fit_toxicity, with_toxicity
 from reposift.llm.word_bpe import with_tokens
+from reposift.llm.top_k import exact_top_k, integer_vectors
+from reposift.llm.url_filter import Rule, canonical, host_and_path, judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,3 +88,76 @@ def op7_bpe(spark, sf_dir):
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+RULES = (
+    Rule("allow", "org", "/"),
+    Rule("block", "example.org", "/es/"),
+    Rule("block", "example.org", "/en/1"),
+    Rule("allow", "com", "/fr/"),
+    Rule("block", "com", "/de/"),
+)
+
+
+@query
+def op2_url_filters(spark, sf_dir):
+    """The list: canonical URLs that some page was reached at with tracking parameters."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    tracked = pages.filter(F.col("url").contains("utm_source="))
+    listed = tracked.select(canonical(*host_and_path(F.col("url"))).alias("url"))
+    listed = cut(listed.filter("url is not null").distinct(), "listed")
+    return judge_urls(pages, listed, RULES)
+
+
+ORACLES["op2_url_filters"] = r"""
+with split as (
+    select page_id, url,
+           translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+           coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path
+    from pages
+), named as (
+    select *, case when host <> '' then regexp_replace(host, '^(www|m)\.', '')
+                  || regexp_replace(regexp_replace(path, '\.html?$', ''), '/+$', '') end as canonical
+    from split
+), rules(verdict, rule_host, rule_path) as (
+    values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+           ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), fitting as (
+    select named.*, rules.verdict, rule_host || rule_path as rule,
+           row_number() over (partition by page_id, url
+                              order by length(rule_host || rule_path) desc nulls last) as place
+    from named left join rules
+      on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+), listed as (
+    select distinct canonical from named where url like '%utm\_source=%' escape '\'
+)
+select page_id, host, path, rule,
+       coalesce(verdict, case when canonical in (select canonical from listed where canonical is not null)
+                              then 'block' else 'allow' end) as verdict
+from fitting where place = 1
+"""
+
+
+@query
+def op10_exact_top_k(spark, sf_dir):
+    vectors = integer_vectors(table(spark, sf_dir, "embeddings"))
+    return exact_top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+ORACLES["op10_exact_top_k"] = """
+with v as (
+    select vec_id, list_transform(embedding, lambda c: floor(256 * cast(c as double))) as x
+    from embeddings
+    where embedding is not null and vec_id is not null
+      and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0
+), scored as (
+    select q.vec_id as query_id, v.vec_id, cast(list_inner_product(q.x, v.x) as bigint) as score
+    from v q join v on q.vec_id <> v.vec_id
+    where q.vec_id % 50 = 0
+)
+select query_id, cast(row_number() over best as integer) as rank, vec_id, score
+from scored
+window best as (partition by query_id order by score desc, vec_id)
+qualify rank <= 5
+"""
