@@ -12,6 +12,7 @@ from reposift.llm.exact_dedup import exact_duplicates
 from reposift.llm.language import fit_language_model, held_out, with_language
 from reposift.llm.near_dedup import near_duplicates
 from reposift.llm.packing import pack
+from reposift.llm.sharding import kd_shards
 from reposift.llm.suffix_dedup import repeated_passages
 from reposift.llm.toxicity import fit_toxicity, with_toxicity
 from reposift.llm.word_bpe import with_tokens
@@ -161,3 +162,8 @@ from scored
 window best as (partition by query_id order by score desc, vec_id)
 qualify rank <= 5
 """
+
+
+@query
+def op3_sharding(spark, sf_dir):
+    return kd_shards(table(spark, sf_dir, "documents"), shards=8)
