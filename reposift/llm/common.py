@@ -53,6 +53,31 @@ def unused(df: DataFrame, name: str) -> str:
 SENT_IDS = 2_000_000
 
 
+def sent(ids: DataFrame) -> DataFrame:
+    """``ids``, a written table of distinct keys, marked to be sent to the rows if it is small.
+
+    The keys are counted: beyond :data:`SENT_IDS` a join with them shuffles both sides.
+    """
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+
+
+def only(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose key is among ``ids`` (see :func:`sent`)."""
+    return df.join(sent(ids), ids.columns[0], "left_semi")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+# Ids that may be sent to every executor: 16 bytes each, about 32 MB.
+SENT_IDS = 2_000_000
+
+
 def only(df: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``df`` whose key is among ``ids``, a written table of distinct keys.
 

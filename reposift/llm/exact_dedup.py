@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reposift.llm.common import cut, ready, unused
+from reposift.llm.common import cut, only, ready, sent, unused
 
 SLOTS = 4
 MAX_KICKS = 128
@@ -164,18 +164,19 @@ def live_digests(rows: DataFrame) -> DataFrame:
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256, ties``.
+    """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256, ties, row``.
 
     Texts are equal when all their characters are; null counts as empty. The largest id of a
     group stays. Rows without an id never stay if another row has one; if none has, all are
     kept and ``keep_id`` is null. Rows that repeat both id and text are one row told several
-    times: each is marked as kept, and ``ties`` counts them. Other columns are not read, and an
+    times: each is marked as kept, and ``ties`` counts them. ``row`` is a hash of id and text. Other columns are not read, and an
     empty table gives an empty result.
     """
     rows = cut(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
             F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("digest"),
+            _row(id_col, text_col).alias("row"),
         ),
         "digests",
     )
@@ -190,18 +191,20 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
         "ties",
+        "row",
     )
 
 
+def _row(id_col: str, text_col: str):
+    return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+
+
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
-    decided = exact_duplicates(docs, id_col, text_col).filter("kept")
-    digest, keep, ties = (unused(docs, name) for name in ("digest", "keep", "ties"))
-    stays = decided.groupBy(F.col("text_sha256").alias(digest), F.col("keep_id").alias(keep)).agg(
-        F.max("ties").alias(ties)
-    )
-    rows = docs.withColumn(digest, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    known = rows.join(stays, [digest]).filter(F.col(id_col).eqNullSafe(F.col(keep)))
-    once = known.filter(F.col(ties) == 1).select(*docs.columns)
-    again = known.filter(F.col(ties) > 1)
-    return once.unionByName(again.dropDuplicates([digest]).select(*docs.columns))
+    row = unused(docs, "row")
+    decided = exact_duplicates(docs, id_col, text_col).select("kept", "ties", F.col("row").alias(row))
+    decided = cut(decided.filter("not kept or ties > 1").distinct(), "decided")
+    gone, again = decided.select(row), decided.filter("kept").select(row)
+    known = docs.withColumn(row, _row(id_col, text_col))
+    once = known.join(sent(gone), row, "left_anti")
+    return once.unionByName(only(known, again).dropDuplicates([row])).select(*docs.columns)

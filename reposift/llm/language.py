@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import sqrt
 
 import numpy as np
 import pandas as pd
@@ -50,6 +51,20 @@ def profiles(texts: list[bytes | None]) -> np.ndarray:
     return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float32)
 
 
+def _curvature(x: np.ndarray) -> float:
+    """Largest eigenvalue of the rows' inner products, by power iteration."""
+    v = np.random.default_rng(0).normal(size=len(x)).astype(np.float32)
+    v /= np.linalg.norm(v) or 1
+    size = 0.0
+    for _ in range(30):
+        v = x @ (x.T @ v)
+        size = float(np.linalg.norm(v))
+        if not size:
+            break
+        v /= size
+    return size
+
+
 def linear_svm(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights and biases of linear SVMs with squared hinge loss, one per column of ``y``.
 
@@ -61,14 +76,14 @@ def linear_svm(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         y < 0, 0.5 / np.maximum((y < 0).sum(axis=0), 1), 0
     )
     share, y = share.astype(np.float32), y.astype(np.float32)
-    step = 1 / (2 * share.max() * np.linalg.norm(x, 2) ** 2 + 2 * share.max() * len(x) + DECAY)
+    step = 1 / (2 * float(share.max()) * (1.1 * _curvature(x) + len(x)) + DECAY)
     w, b = np.zeros((x.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
     ahead_w, ahead_b, t = w, b, 1.0
     for _ in range(ROUNDS):
         slack = share * y * np.maximum(0, 1 - y * (x @ ahead_w + ahead_b))
         new_w = ahead_w + step * (2 * x.T @ slack - DECAY * ahead_w)
         new_b = ahead_b + step * 2 * slack.sum(axis=0)
-        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        after = (1 + sqrt(1 + 4 * t * t)) / 2
         ahead_w = new_w + (t - 1) / after * (new_w - w)
         ahead_b = new_b + (t - 1) / after * (new_b - b)
         w, b, t = new_w, new_b, after

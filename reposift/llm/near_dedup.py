@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reposift.llm.common import as_signed, chunks, cut, mixed, only, ready, unused, window_hashes, words_of_texts
+from reposift.llm.common import as_signed, chunks, cut, mixed, only, ready, sent, unused, window_hashes, words_of_texts
 from reposift.llm.components import components
 
 WIDTH = 5
@@ -293,5 +293,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The first document of each component and those without one, with all their columns."""
     decided = near_duplicates(docs, id_col, text_col)
     name = unused(docs, "gone")
-    gone = decided.filter("not kept").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, docs[id_col] == F.col(name), "left_anti")
+    gone = cut(decided.filter("not kept").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(sent(gone), docs[id_col] == F.col(name), "left_anti")

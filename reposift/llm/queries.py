@@ -31,7 +31,7 @@ def query(run: Query) -> Query:
 
 @query
 def op8_exact_dedup(spark, sf_dir):
-    return exact_duplicates(table(spark, sf_dir, "documents")).drop("ties")
+    return exact_duplicates(table(spark, sf_dir, "documents")).drop("ties", "row")
 
 
 ORACLES["op8_exact_dedup"] = """

@@ -17,6 +17,7 @@ from reposift.llm.common import (
     mixed,
     only,
     ready,
+    sent,
     unused,
     window_hashes,
     word_hashes,
@@ -239,15 +240,15 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     again where the text changes.
     """
     gone = repeated_passages(docs, id_col, text_col).filter("not kept")
-    spans = gone.distinct().groupBy(F.col("row").alias("_row")).agg(
-        F.collect_list(F.struct("start_word", "end_word")).alias("_spans")
-    )
     row, cuts = unused(docs, "row"), unused(docs, "cuts")
-    key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("binary"))
-    spans = spans.select(F.col("_row").alias(row), F.col("_spans").alias(cuts))
-    known = docs.withColumn(row, key).join(spans, row, "left")
-    whole = known.filter(F.col(cuts).isNull()).select(*docs.columns)
-    changed = known.filter(F.col(cuts).isNotNull()).withColumn(text_col, _without(F.col(text_col), cuts))
+    spans = gone.distinct().groupBy(F.col("row").alias(row)).agg(
+        F.collect_list(F.struct("start_word", "end_word")).alias(cuts)
+    )
+    spans = cut(spans, "cuts")
+    ids = spans.select(row)
+    known = docs.withColumn(row, F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("binary")))
+    whole = known.join(sent(ids), row, "left_anti").select(*docs.columns)
+    changed = only(known, ids).join(spans, row).withColumn(text_col, _without(F.col(text_col), cuts))
     if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     changed = changed.filter(F.col(text_col).rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
