@@ -199,6 +199,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .filter("n > 1")
         .select("hash", "first_doc_id")
     )
+    # Written first, so that both sides of the join are shuffled alone and a frequent passage is split.
+    repeated = cut(repeated, "repeated")
     own = F.when(F.col("first_doc_id") == F.col("doc_id"), F.col("hash")).otherwise(0).alias("own")
     matched = (
         passages.join(repeated, "hash")
