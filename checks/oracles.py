@@ -6,6 +6,8 @@ histories are full outer joins of neighbouring snapshots, updates are CASE expre
 
 from __future__ import annotations
 
+from reposift.samples import QUEUE_TEXTS
+
 PROJECT_FIELDS = """fields as (
   select o_orderkey as id, 'cust' || o_custkey as owner, 'repo' || o_orderkey % 7 as repo,
     case o_orderkey % 5 when 0 then 'JavaScript' when 1 then 'TypeScript'
@@ -25,22 +27,44 @@ PROJECTS = f"""{PROJECT_FIELDS}, projects as (
   from fields
   where bad_kind = 0 and language in ('JavaScript', 'TypeScript', 'CoffeeScript'))"""
 
-QUEUE = """queue as (
+_TEXTS = ", ".join(f"'{text}'" for text in QUEUE_TEXTS)
+QUEUE = f"""queue as (
   select 'cust' || o_custkey as owner, 'repo' || o_orderkey as repo,
     case when o_orderstatus <> 'O' then cast(1528559497000 + o_orderkey % 3 as varchar) end
       as checkout_id,
-    case o_orderkey % 11 when 0 then 'https://host: 503 Service Unavailable'
-      when 1 then 'Socket is closed' when 2 then 'File name too long: a'
-      when 3 then 'unlisted failure text that runs well past the fifty character mark' end
-      as result,
+    ([{_TEXTS}])[o_orderkey % 29 + 1] as result,
     o_orderstatus = 'F' as completed, o_orderkey
   from orders)"""
 
 QUEUE_COLUMNS = "owner, repo, checkout_id, result, completed"
 
-# The fixture has these results only, so their buckets can be told by number.
-BUCKET = """case o_orderkey % 11 when 0 then '503 Service Unavailable' when 1 then result
-    when 2 then 'File name too long' when 3 then left(result, 50) end"""
+# The buckets of the texts, told by their numbers.
+_BUCKETS = ", ".join(
+    f"'{bucket}'" if bucket else f"left('{text}', 50)"
+    for text, bucket in zip(
+        QUEUE_TEXTS,
+        (
+            "503 Service Unavailable",
+            "",
+            "File name too long",
+            "",
+            "No such file or directory",
+            "cannot open git-upload-pack",
+            "git-upload-pack not permitted",
+            "authentication not supported",
+            "Duplicate stages not allowed",
+            "Nul character not allowed",
+            "No space left on device",
+            "",
+            "",
+            "",
+            "",
+            "503 Service Unavailable",
+            "No such file or directory",
+        ),
+    )
+)
+BUCKET = f"([{_BUCKETS}])[o_orderkey % 29 + 1]"
 
 STATUS = """case when result is not null then 'ERROR' when completed then 'FINISHED'
     when checkout_id is not null then 'IN_PROGRESS' else 'PENDING' end"""
@@ -148,7 +172,7 @@ _LOADED = """select owner, repo, cast(null as varchar) as checkout_id,
 _FINAL_PAIRS = f"""{_LOADED}
 from (select distinct owner, repo from projects where not is_deleted and not is_forked)"""
 _NUMBERED = "row_number() over (partition by owner, repo order by commit_time_s, {}) as position"
-_RESET = "(result like '%503 Service Unavailable%' or result like '%Socket%closed%')"
+_RESET = "o_orderkey % 29 not in (2, 3, 8, 9) and result is not null"
 
 ORACLES: dict[str, str] = {
     "scan_project_lines": f"""with {PROJECT_FIELDS}, dated as (
@@ -368,7 +392,23 @@ select *, cast({_TOKEN} as bigint) as run from ({_RECORD})
 where lower(git_path) like '%.js' or lower(git_path) like '%.ts'""",
     "crawl_file_contents": f"""with {BLOBS}, {LABELLED}
 select distinct hash_code, cast({_TOKEN} as bigint) as run, contents
-from blobs where hash_code not in (select hash_code from labelled)""",
+from blobs where doc_id % 4 <> 3 and hash_code not in (select hash_code from labelled)""",
+    "crawl_file_contents_misses": f"""with {BLOBS}, {LABELLED}
+select distinct hash_code, 'missing object ' || hash_code as error, cast({_TOKEN} as bigint) as run
+from blobs where doc_id % 4 <> 3 and hash_code not in (select hash_code from labelled)""",
+    "crawl_of_attempts": f"""with {COMMITS}, {ATTEMPTS}, outcome as (
+  select distinct on (user_id) user_id, ok, error from attempts where attempt <= 2
+  order by user_id, ok desc, case when ok then attempt else -attempt end)
+select owner, repo, {_TOKEN} as checkout_id,
+  case when not ok then substring(coalesce(error, 'unknown'), 1, 254) end as result,
+  true as completed
+from (select distinct owner, repo from commits)
+  left join outcome on owner = 'cust' || user_id""",
+    "drain_after_crash": f"""with {COMMITS}
+select 'FINISHED' as status, count(distinct (owner, repo)) as count from commits
+union all
+select 'STORED', count(*) from commits""",
+    "batch_is_empty_when_done": f"with {QUEUE} select count(*) = 0 as is_empty from queue where false",
     "drain": f"""with {COMMITS}
 select 'FINISHED' as status, count(distinct (owner, repo)) as count from commits
 union all

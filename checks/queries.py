@@ -122,7 +122,7 @@ def filter_top_n(spark, sf_dir):
 
 @query
 def filter_top_n_in_parallel(spark, sf_dir):
-    return projects.filter_top_n(parse_projects(spark, sf_dir), 500, max_gathered=0)
+    return projects.filter_top_n(parse_projects(spark, sf_dir).repartition(32), 500)
 
 
 @query
@@ -265,7 +265,7 @@ def claim(spark, sf_dir):
 
 @query
 def claim_in_parallel(spark, sf_dir):
-    return queue.claim(samples.queue(spark, sf_dir), TOKEN, 1000, max_gathered=0)
+    return queue.claim(samples.queue(spark, sf_dir).repartition(32), TOKEN, 1000)
 
 
 @query
@@ -278,10 +278,19 @@ def claimed_batch(spark, sf_dir):
     return queue.claimed(queue.claim(samples.queue(spark, sf_dir), TOKEN, 1000), TOKEN)
 
 
+def _is_empty(rows):
+    found = rows.filter(status.is_pending()).limit(1)
+    return found.agg((F.count(F.lit(1)) == 0).alias("is_empty"))
+
+
 @query
 def batch_is_empty(spark, sf_dir):
-    empty = samples.queue(spark, sf_dir).filter(status.is_pending()).isEmpty()
-    return spark.range(1).select(F.lit(empty).alias("is_empty"))
+    return _is_empty(samples.queue(spark, sf_dir))
+
+
+@query
+def batch_is_empty_when_done(spark, sf_dir):
+    return _is_empty(queue.claim(samples.queue(spark, sf_dir), TOKEN, None))
 
 
 @query
@@ -554,10 +563,6 @@ def dedup_latest(spark, sf_dir):
     return objects.dedup_latest(samples.blobs(spark, sf_dir), ["hash_code"], "doc_id")
 
 
-@query
-def list_files(spark, sf_dir):
-    name = F.substring_index("path", "/", -1).alias("name")
-    return files.list_files(spark, sf_dir).select(name, "length")
 
 
 # --- pipelines ------------------------------------------------------------------------
@@ -603,19 +608,25 @@ def crawl_file_history(spark, sf_dir):
     return run_store.read_runs(spark, store, "FILE_METADATA", all_columns=True)
 
 
-@query
-def crawl_file_contents(spark, sf_dir):
-    store = new_folder(spark, "store")
+def _listed_files(spark, sf_dir, store):
+    """A file history of documents, with extensions that the crawl wants and one that it does not."""
+    extension = F.get(F.array(*map(F.lit, (".js", ".TS", ".coffee", ".md"))), (F.col("doc_id") % 4).cast("int"))
     listed = samples.blobs(spark, sf_dir).select(
         F.lit("acme").alias("repo_owner"),
         F.lit("docs").alias("repository"),
         F.lit("t").alias("tree_id"),
-        F.concat(F.lit("doc"), "doc_id", F.lit(".js")).alias("git_path"),
+        F.concat(F.lit("doc"), "doc_id", extension).alias("git_path"),
         "hash_code",
         F.lit("c").alias("commit_id"),
         F.lit(0).cast("long").alias("commit_time_s"),
     )
     run_store.store_records(listed, store, "FILE_METADATA", 1)
+
+
+@query
+def crawl_file_contents(spark, sf_dir):
+    store = new_folder(spark, "store")
+    _listed_files(spark, sf_dir, store)
     run_store.store_records(samples.labelled_hashes(spark, sf_dir), store, "INDEX", 1)
     source = _unique_blobs(spark, sf_dir)
     content_plans.crawl_file_contents(spark, store, source, token=TOKEN)
@@ -623,12 +634,52 @@ def crawl_file_contents(spark, sf_dir):
     return run_store.read_runs(spark, store, "CONTENTS").join(index, ["hash_code", "run"])
 
 
+@query
+def crawl_file_contents_misses(spark, sf_dir):
+    """Only labelled documents have contents; the others are logged, and not wanted again."""
+    store = new_folder(spark, "store")
+    _listed_files(spark, sf_dir, store)
+    source = _unique_blobs(spark, sf_dir).join(samples.labelled_hashes(spark, sf_dir), "hash_code", "left_semi")
+    tokens = iter((TOKEN, TOKEN + 1))
+    crawl.drain(lambda: content_plans.crawl_file_contents(spark, store, source, token=next(tokens)))
+    return error_log.read_misses(spark, store)
+
+
+@query
+def crawl_of_attempts(spark, sf_dir):
+    """The outcome of a user's first two attempts is that of all their repositories."""
+    log = samples.commits(spark, sf_dir)
+    store = _crawl_store(spark, log)
+    failed = tries.failures(tries.resolve_attempts(samples.attempts(spark, sf_dir), ["user_id"], 2))
+    owner = F.concat(F.lit("cust"), "user_id").alias("owner")
+    failed = failed.select(owner, "error").join(log.select("owner", "repo").distinct(), "owner")
+    crawl.crawl_commit_messages(spark, store, log, failed, limit=None, token=TOKEN)
+    return queue_table.read_queue(spark, store)
+
+
+@query
+def drain_after_crash(spark, sf_dir):
+    """A turn dies after its claim; the next crawl releases and reads what it had claimed."""
+    log = samples.commits(spark, sf_dir)
+    store = _crawl_store(spark, log)
+    queue_table.change_queue(spark, store, lambda q: queue.claim(q, TOKEN, 500))
+    crawl.drain(
+        lambda: crawl.crawl_commit_messages(spark, store, log, limit=None),
+        before=lambda: crawl.recover(spark, store),
+    )
+    return _drained(spark, store)
+
+
 @query
 def drain(spark, sf_dir):
     log = samples.commits(spark, sf_dir)
     store = _crawl_store(spark, log)
     third = queue_table.read_queue(spark, store).count() // 3 + 1
     crawl.drain(lambda: crawl.crawl_commit_messages(spark, store, log, limit=third))
+    return _drained(spark, store)
+
+
+def _drained(spark, store):
     messages = run_store.read_split(spark, store, "COMMIT_MESSAGES")
     done = report.status_counts(queue_table.read_queue(spark, store))
     stored = messages.agg(F.lit("STORED").alias("status"), F.count(F.lit(1)).alias("count"))

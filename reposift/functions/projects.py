@@ -21,19 +21,17 @@ NULL_MARK = "\\N"
 _FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"\s*+|[^",][^,]*+|)'
 STRICT_RECORD = rf"^{_FIELD}(?:,{_FIELD})*+\z"
 
-# Spark's CSV parser fails on more than 20,480 columns, so it gets the leading ones of a line
-# that is long enough to have as many. Later columns are not used.
+# Spark's CSV parser fails on more than 20,480 columns, so it gets the ten leading ones of every
+# line. Later columns are not used.
 _LEADING_FIELDS = rf"^{_FIELD}(?:,{_FIELD}){{0,9}}+"
-_LONG_LINE = 20_000
 
 _INTEGER = r"^[+-]?[0-9]+\z"
 _DATE_TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}\z"
 
 
 def leading_fields(line: Column) -> Column:
-    """The line, or at least its first ten fields if it is very long."""
-    cut = F.regexp_extract(line, _LEADING_FIELDS, 0)
-    return F.when(F.length(line) > _LONG_LINE, cut).otherwise(line)
+    """The first ten fields of a record."""
+    return F.regexp_extract(line, _LEADING_FIELDS, 0)
 
 
 def trim_controls(text: Column) -> Column:

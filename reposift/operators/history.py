@@ -63,6 +63,7 @@ def snapshot_changes(
     unique: bool = False,
     per_group: int = SNAPSHOTS_PER_GROUP,
     max_group: int = GROUP_ROWS_PER_TASK,
+    repositories: DataFrame | None = None,
 ) -> DataFrame:
     """Changes from each snapshot of a repository to the next one in ascending order.
 
@@ -70,6 +71,9 @@ def snapshot_changes(
     is listed twice in a snapshot counts once, with its largest hash; ``unique`` promises that
     neither table repeats a key and saves the shuffle that looks for it.
 
+    ``repositories`` (owner, repo) restricts the log, after repeated commits are merged, and by
+    its join the files.
+
     Rows are grouped by file and by runs of ``per_group`` snapshots, so neither a giant
     repository nor a file with a giant history ends in one task. The last row of a run is
     copied to the next run, where it serves as the previous snapshot. The numbered log, which
@@ -86,6 +90,8 @@ def snapshot_changes(
         rest = [c for c in log.columns if c not in [*REPO, "commit_id"]]
         log = log.groupBy(*REPO, "commit_id").agg(*[F.min(c).alias(c) for c in rest])
         files = files.dropDuplicates()
+    if repositories is not None:
+        log = log.join(repositories.select(*REPO), REPO, "left_semi")
     log = written_table(number_rows(log, REPO, order, max_group), "log")
 
     # Only the position travels with the file rows; commit details are joined to the changes.

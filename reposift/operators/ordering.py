@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from reposift.session import written_table
 
-# Most rows of a group that one task may sort, and most rows that one task may gather.
+# Most rows of a group that one task may sort.
 GROUP_ROWS_PER_TASK = 1_000_000
-GATHERED_ROWS = 1_000_000
 
-_BYTES_PER_TASK = 128 * 1024 * 1024
+# Groups that a limit is taken in before the last one.
+GROUPS = 16
 
 
 def number_rows(
@@ -24,12 +24,13 @@ def number_rows(
 ) -> DataFrame:
     """Add ``position`` (1, 2, … within ``keys``) and ``group_rows`` (size of the group).
 
-    ``order`` must be a total order within a group. The largest group is counted first:
+    The other columns settle ties of ``order``, so rows that still tie are equal. The largest group is counted first:
     if one task can sort it, a window does the work in one shuffle; if a single key holds
     more than ``max_group`` rows, the rows are range-partitioned instead, which splits that
     key over many tasks.
     """
     keys, order = list(keys), list(order)
+    order += [c for c in df.columns if c not in [*keys, *order]]
     if keys and _largest_group(df, keys) <= max_group:
         group = Window.partitionBy(*keys)
         return df.withColumns(
@@ -86,25 +87,25 @@ def _number_by_range(df: DataFrame, keys: list[str], order: list[str]) -> DataFr
     )
 
 
-def _tasks(df: DataFrame) -> int:
-    """How many tasks will read ``df``, by the planner's estimate of its size."""
-    statistics = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(statistics.sizeInBytes())) // _BYTES_PER_TASK + 1
-
-
-def first_rows(
-    df: DataFrame, n: int, order: Sequence[str], max_gathered: int = GATHERED_ROWS
-) -> DataFrame:
+def first_rows(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     """The first ``n`` rows by ``order``; rows that tie on ``order`` are interchangeable.
 
-    Usually each task keeps its first ``n`` rows and one task merges those of all. Where that
-    would be more than ``max_gathered`` rows, positions are computed in parallel instead.
+    Rows are dealt to :data:`GROUPS` groups by a hash of the row. Each group keeps its first
+    ``n`` rows, which Spark limits in each task before the shuffle already; the last task merges
+    ``GROUPS * n`` rows at most, however many tasks read ``df``.
     """
     if n < 0:
         raise ValueError("the number of rows must not be negative")
-    if n * _tasks(df) <= max_gathered:
-        return df.orderBy(*order).limit(n)
-    # The last column tells copies apart, so that many copies of a row can be split.
-    told_apart = df.withColumn("_copy", F.monotonically_increasing_id())
-    numbered = number_rows(told_apart, [], [*order, "_copy"])
-    return numbered.filter(F.col("position") <= n).select(*df.columns)
+    ordered = [F.col(c) for c in order]
+    group = unused_name(df, "_group")
+    place = unused_name(df, "_place")
+    # The task's number deals copies of a row to several groups.
+    dealt = df.withColumn(group, F.pmod(F.xxhash64(*ordered, F.spark_partition_id()), F.lit(GROUPS)))
+    first = dealt.withColumn(place, F.row_number().over(Window.partitionBy(group).orderBy(*ordered)))
+    return first.filter(F.col(place) <= n).drop(group, place).orderBy(*order).limit(n)
+
+
+def unused_name(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name = f"_{name}"
+    return name

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reposift.functions import projects as fields
-from reposift.operators.ordering import GATHERED_ROWS, first_rows
+from reposift.operators.ordering import first_rows
 from reposift.schemas import PROJECT
 
 LINE_FIELDS = (
@@ -37,9 +37,16 @@ def _fields_of(line: Column) -> Column:
 def split_lines(lines: DataFrame) -> DataFrame:
     """Fields of every line of column ``value``, next to the line; no line is dropped.
 
-    ``inline`` keeps Catalyst from copying ``from_csv`` into each later filter.
+    A line that is not a CSV record has nulls for fields, however long it is.
     """
-    return lines.select("value", F.inline(F.array(_fields_of(F.col("value")))))
+    return _split(lines, F.col("value").rlike(fields.STRICT_RECORD))
+
+
+def _split(lines: DataFrame, strict: Column | None = None) -> DataFrame:
+    """``inline`` keeps Catalyst from copying ``from_csv`` into each later filter."""
+    record = _fields_of(F.col("value"))
+    record = record if strict is None else F.when(strict, record)
+    return lines.select("value", F.inline(F.array(record)))
 
 
 def _record(languages: Iterable[str] | None) -> dict[str, Column]:
@@ -67,7 +74,7 @@ def parse_projects(lines: DataFrame, languages: Sequence[str] | None = None) ->
     record = _record(wanted)
     # The record is built in a generator too, so the null test does not evaluate it again.
     row = F.struct(*[value.alias(name) for name, value in record.items()])
-    parsed = split_lines(strict).select(F.inline(F.array(row)))
+    parsed = _split(strict).select(F.inline(F.array(row)))
     return parsed.dropna(subset=PROJECT.fieldNames())
 
 
@@ -97,14 +104,9 @@ def filter_forked(projects: DataFrame) -> DataFrame:
     return projects.filter(~F.col("is_forked"))
 
 
-def filter_top_n(
-    projects: DataFrame,
-    n: int,
-    order: Sequence[str] | None = None,
-    max_gathered: int = GATHERED_ROWS,
-) -> DataFrame:
+def filter_top_n(projects: DataFrame, n: int, order: Sequence[str] | None = None) -> DataFrame:
     """At most ``n`` projects: the first by ``order``, by default all columns."""
-    return first_rows(projects, n, order or projects.columns, max_gathered)
+    return first_rows(projects, n, order or projects.columns)
 
 
 def filter_names(filters: str | Iterable[str]) -> list[str]:

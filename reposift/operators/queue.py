@@ -16,7 +16,7 @@ from reposift.functions.status import (
     is_pending,
     like_any,
 )
-from reposift.operators.ordering import GATHERED_ROWS, first_rows
+from reposift.operators.ordering import first_rows
 from reposift.schemas import QUEUE, QUEUE_KEY
 
 
@@ -81,12 +81,7 @@ def _update(
     return joined.withColumns(updated).select(*QUEUE.fieldNames())
 
 
-def claim(
-    queue: DataFrame,
-    token: int | str,
-    limit: int | None = 1000,
-    max_gathered: int = GATHERED_ROWS,
-) -> DataFrame:
+def claim(queue: DataFrame, token: int | str, limit: int | None = 1000) -> DataFrame:
     """Stamp the first ``limit`` pending rows by (owner, repo) with ``token``.
 
     The claimed rows are a range of the key, so the last claimed key decides for each row
@@ -95,9 +90,7 @@ def claim(
     """
     taken = is_pending()
     if limit is not None:
-        batch = first_rows(
-            queue.filter(is_pending()).select(*QUEUE_KEY), limit, QUEUE_KEY, max_gathered
-        )
+        batch = first_rows(queue.filter(is_pending()).select(*QUEUE_KEY), limit, QUEUE_KEY)
         last = batch.agg(F.max(F.struct(*QUEUE_KEY))).scalar()
         taken = taken & F.coalesce(F.struct(*QUEUE_KEY) <= last, F.lit(False))
     stamped = F.when(taken, F.lit(str(token))).otherwise(F.col("checkout_id"))

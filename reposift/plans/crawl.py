@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from reposift.functions.status import is_pending
 from reposift.operators.history import REPO, commit_messages, file_history
-from reposift.operators.queue import claim, claimed, mark_completed, mark_error
+from reposift.operators.queue import claim, claimed, mark_completed, mark_error, release_stale
 from reposift.session import passing_tables, run_token, written_table
 from reposift.sources.error_log import log_errors
-from reposift.sources.queue_table import publish_queue, read_queue
-from reposift.sources.run_store import store_records
+from reposift.sources.queue_table import change_queue, read_queue
+from reposift.sources.run_store import new_run, store_records
 
 # Fixed value: repositories per claim, unless told otherwise.
 BATCH_REPOSITORIES = 20_000
@@ -28,16 +28,20 @@ def owner_range(batch: DataFrame) -> tuple[str, str] | None:
     return None if low is None else (low, high)
 
 
-def rows_of(batch: DataFrame, owners: tuple[str, str]) -> Rows:
-    """A function that keeps the rows whose repository is in the batch.
+def near_rows(rows: DataFrame, owners: tuple[str, str]) -> DataFrame:
+    """The rows between the first and the last owner of a batch.
 
-    A batch is a range of the queue's order, so its first and last owner bound the owners it
-    needs: on tables clustered by owner the scan skips all other files and row groups.
+    A batch is a range of the queue's order, so on tables clustered by owner the scan skips all
+    other files and row groups.
     """
+    return rows.filter(F.col("owner").between(*map(F.lit, owners)))
+
+
+def rows_of(batch: DataFrame, owners: tuple[str, str]) -> Rows:
+    """A function that keeps the rows whose repository is in the batch."""
 
     def of(rows: DataFrame) -> DataFrame:
-        near = rows.filter(F.col("owner").between(*map(F.lit, owners)))
-        return near.join(batch, REPO, "left_semi")
+        return near_rows(rows, owners).join(batch, REPO, "left_semi")
 
     return of
 
@@ -47,39 +51,45 @@ def _crawl(
     store: str,
     split: str,
     commits: DataFrame,
-    extract: Callable[[Rows], DataFrame],
+    extract: Callable[[DataFrame, tuple[str, str]], DataFrame],
     failures: DataFrame | None,
     limit: int | None,
     token: int | None,
 ) -> bool:
-    """One turn of a crawl. ``extract`` gets the function that selects the rows of the batch."""
+    """One turn of a crawl. ``extract`` gets the repositories to read and the range of their owners."""
     queue = read_queue(spark, store)
     if queue.filter(is_pending()).isEmpty():
         return False
     token = run_token() if token is None else token
+    new_run(spark, store, [split], token)
+    if not queue.filter(F.col("checkout_id") == str(token)).isEmpty():
+        raise ValueError(f"the queue knows a claim {token}")
     with passing_tables(spark):
-        queue = publish_queue(claim(queue, token, limit), store)
+        queue = change_queue(spark, store, lambda q: claim(q, token, limit))
         batch = written_table(claimed(queue, token), "batch")
         owners = owner_range(batch)
         if owners is None:
             return False
         of_batch = rows_of(batch, owners)
 
-        of_good = of_batch
+        good, of_good = batch, of_batch
         if failures is not None:
             failures = of_batch(failures)
             failed = failures.select(*REPO).dropDuplicates()
             good = written_table(batch.join(failed, REPO, "left_anti"), "good")
             of_good = rows_of(good, owners)
-        store_records(extract(of_good), store, split, token)
+        store_records(extract(good, owners), store, split, token)
         if "error" in commits.columns:
             log_errors(of_good(commits).filter(F.col("error").isNotNull()), store, token)
 
         # The whole batch ends here, so failed repositories are completed as well.
-        if failures is not None:
-            seq = "seq" if "seq" in failures.columns else None
-            queue = mark_error(queue, failures, seq)
-        publish_queue(mark_completed(queue, batch, token), store)
+        def ended(latest: DataFrame) -> DataFrame:
+            if failures is not None:
+                seq = "seq" if "seq" in failures.columns else None
+                latest = mark_error(latest, failures, seq)
+            return mark_completed(latest, batch, token)
+
+        change_queue(spark, store, ended)
     return True
 
 
@@ -99,8 +109,8 @@ def crawl_commit_messages(
     all pending repositories at once.
     """
 
-    def extract(of_good: Rows) -> DataFrame:
-        return commit_messages(of_good(commits))
+    def extract(good: DataFrame, owners: tuple[str, str]) -> DataFrame:
+        return commit_messages(rows_of(good, owners)(commits))
 
     return _crawl(spark, store, "COMMIT_MESSAGES", commits, extract, failures, limit, token)
 
@@ -118,17 +128,35 @@ def crawl_file_history(
 ) -> bool:
     """Store the file changes of the next batch; false if nothing was pending.
 
+    Snapshots are only cut to the range of the batch: the join with its commits does the rest,
+    so no shuffle has a repository alone for its key.
+
     ``options`` are those of :func:`reposift.operators.history.snapshot_changes`.
     """
 
-    def extract(of_good: Rows) -> DataFrame:
-        return file_history(of_good(commits), of_good(snapshots), extensions, **options)
+    def extract(good: DataFrame, owners: tuple[str, str]) -> DataFrame:
+        log, files = near_rows(commits, owners), near_rows(snapshots, owners)
+        return file_history(log, files, extensions, repositories=good, **options)
 
     return _crawl(spark, store, "FILE_METADATA", commits, extract, failures, limit, token)
 
 
-def drain(turn: Callable[[], bool]) -> int:
-    """Repeat a crawl until it finds nothing to do; returns how many turns had work."""
+def recover(spark: SparkSession, store: str, live_tokens: Iterable[int | str] = ()) -> None:
+    """Release the claims of turns that died; those of ``live_tokens`` stay."""
+    live = [str(token) for token in live_tokens]
+    queue = read_queue(spark, store)
+    dead = queue.filter("checkout_id is not null and not completed and result is null")
+    if not dead.filter(~F.col("checkout_id").isin(live) if live else F.lit(True)).isEmpty():
+        change_queue(spark, store, lambda q: release_stale(q, live))
+
+
+def drain(turn: Callable[[], bool], before: Callable[[], None] | None = None) -> int:
+    """Repeat a crawl until it finds nothing to do; returns how many turns had work.
+
+    ``before`` runs first: give :func:`recover` where a turn may have died after its claim.
+    """
+    if before is not None:
+        before()
     turns = 0
     while turn():
         turns += 1

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reposift.operators.ordering import number_rows
 from reposift.session import written_table
 
 
@@ -72,17 +73,37 @@ def project_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Errors of queue rows: one for each pattern of the report and of the reset, some for two.
+QUEUE_TEXTS = (
+    "https://host: 503 Service Unavailable",
+    "Socket is closed",
+    "File name too long: a",
+    "unlisted failure text that runs well past the fifty character mark",
+    "a: No such file or directory",
+    "cannot open git-upload-pack",
+    "git-upload-pack not permitted on x",
+    "authentication not supported",
+    "Duplicate stages not allowed: 1",
+    "Nul character not allowed: b",
+    "No space left on device",
+    "SSL peer shut down incorrectly",
+    "Shutdown in progress",
+    "Read timed out after 120,000 ms",
+    "Connection timed out (Connection timed out)",
+    "cannot open git-upload-pack: 503 Service Unavailable",
+    "File name too long: No such file or directory",
+)
+
+
 def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A work queue in all states, one row per order."""
+    texts = ", ".join(f"'{text}'" for text in QUEUE_TEXTS)
     return table(spark, sf_dir, "orders").selectExpr(
         "'cust' || o_custkey as owner",
         "'repo' || o_orderkey as repo",
         "case when o_orderstatus in ('F', 'P')"
         " then cast(1528559497000 + o_orderkey % 3 as string) end as checkout_id",
-        "case o_orderkey % 11 when 0 then 'https://host: 503 Service Unavailable'"
-        " when 1 then 'Socket is closed' when 2 then 'File name too long: a'"
-        " when 3 then 'unlisted failure text that runs well past the fifty character mark'"
-        " end as result",
+        f"get(array({texts}), cast(o_orderkey % 29 as int)) as result",
         "o_orderstatus = 'F' as completed",
     )
 
@@ -164,19 +185,15 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def attempts(spark: SparkSession, sf_dir: str, at_most: int = 3) -> DataFrame:
-    """The first attempts per user; Spark limits each user before it shuffles the events."""
-    turn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return (
-        table(spark, sf_dir, "events")
-        .withColumn("attempt", turn)
-        .filter(F.col("attempt") <= at_most)
-        .select(
-            "user_id",
-            "attempt",
-            (F.col("event_type") != "error").alias("ok"),
-            F.when(F.col("event_type") == "error", F.col("props")).alias("error"),
-        )
+@_once
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events of a user as attempts, numbered in their order."""
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type", "props")
+    return number_rows(events, ["user_id"], ["ts", "event_id"]).select(
+        "user_id",
+        F.col("position").cast("int").alias("attempt"),
+        (F.col("event_type") != "error").alias("ok"),
+        F.when(F.col("event_type") == "error", F.col("props")).alias("error"),
     )
 
 

@@ -33,3 +33,20 @@ def read_error_log(spark: SparkSession, store: str) -> DataFrame:
         return spark.createDataFrame([], ERROR_LOG)
     reader = spark.read.schema(ERROR_LOG).option("basePath", folder)
     return reader.parquet(*[f"{folder}/run={run}" for run in runs])
+
+
+def log_misses(hashes: DataFrame, store: str, run: int) -> None:
+    """Keep the hashes (hash_code) that a run looked up in vain."""
+    error = F.concat(F.lit("missing object "), "hash_code").alias("error")
+    write_version(hashes.select("hash_code", error), f"{store}/misses", "run", run)
+
+
+def read_misses(spark: SparkSession, store: str) -> DataFrame:
+    """Missing hashes of all complete runs with their ``error`` and ``run``."""
+    folder = f"{store}/misses"
+    runs = complete_versions(spark, folder, "run")
+    schema = "hash_code string, error string, run long"
+    if not runs:
+        return spark.createDataFrame([], schema)
+    reader = spark.read.schema(schema).option("basePath", folder)
+    return reader.parquet(*[f"{folder}/run={run}" for run in runs])

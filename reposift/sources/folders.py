@@ -36,11 +36,17 @@ def complete_versions(spark: SparkSession, parent: str, name: str) -> list[int]:
     return sorted(int(number[1]) for number in numbers if number)
 
 
-def write_version(df: DataFrame, parent: str, name: str, number: int) -> str:
-    """Write ``df`` as one version, replacing an earlier write of the same number."""
+def write_version(df: DataFrame, parent: str, name: str, number: int, replace: bool = True) -> str:
+    """Write ``df`` as one version, replacing an earlier write of the same number if allowed.
+
+    What a failed write left behind is always replaced.
+    """
     path = f"{parent}/{name}={number}"
+    spark = df.sparkSession
+    if not replace and number not in complete_versions(spark, parent, name):
+        delete(spark, path)
     (
-        df.write.mode("overwrite")
+        df.write.mode("overwrite" if replace else "errorifexists")
         .option("compression", "zstd")
         .option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true")
         .parquet(path)

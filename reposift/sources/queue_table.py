@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from reposift.schemas import QUEUE
@@ -26,47 +27,76 @@ def read_queue(spark: SparkSession, store: str) -> DataFrame:
     return spark.read.schema(QUEUE).parquet(f"{_folder(store)}/v={versions[-1]}")
 
 
-def publish_queue(queue: DataFrame, store: str, keep: int = 2) -> DataFrame:
-    """Write the queue as the next version and read it back; older versions than the last
-    ``keep`` are removed. A version that is read is never overwritten."""
+class QueueMoved(RuntimeError):
+    """Another writer has published a version since the queue was read."""
+
+
+def latest_version(spark: SparkSession, store: str) -> int:
+    """Number of the latest complete version, 0 if there is none."""
+    return max(queue_versions(spark, store), default=0)
+
+
+def publish_queue(queue: DataFrame, store: str, expected: int | None = None) -> DataFrame:
+    """Write the queue as the next version and read it back.
+
+    With ``expected``, the version that the change was made from, a later one makes it fail.
+    Versions are never overwritten, and stay until :func:`vacuum_queue` removes them, so lazy
+    readers keep their files.
+    """
     spark = queue.sparkSession
-    versions = queue_versions(spark, store)
-    number = versions[-1] + 1 if versions else 1
-    write_version(queue.select(*QUEUE.fieldNames()), _folder(store), "v", number)
-    for old in [*versions, number][: -max(keep, 1)]:
-        delete(spark, f"{_folder(store)}/v={old}")
+    known = latest_version(spark, store)
+    if expected is not None and known != expected:
+        raise QueueMoved(f"the queue is at version {known}, not {expected}")
+    write_version(queue.select(*QUEUE.fieldNames()), _folder(store), "v", known + 1, replace=False)
     return read_queue(spark, store)
 
 
+def change_queue(
+    spark: SparkSession, store: str, change: Callable[[DataFrame], DataFrame], tries: int = 10
+) -> DataFrame:
+    """Apply a change to the latest version and publish it, again if another writer came first."""
+    for left in reversed(range(tries)):
+        version = latest_version(spark, store)
+        try:
+            return publish_queue(change(read_queue(spark, store)), store, version)
+        except (QueueMoved, AnalysisException) as error:
+            known = isinstance(error, QueueMoved) or "PATH_ALREADY_EXISTS" in str(error)
+            if not known or not left:
+                raise
+
+
+def vacuum_queue(spark: SparkSession, store: str, keep: int = 2) -> None:
+    """Remove all versions but the latest ``keep``. No reader of older ones may be at work."""
+    for old in queue_versions(spark, store)[: -max(keep, 1)]:
+        delete(spark, f"{_folder(store)}/v={old}")
+
+
 def scan_queue_jdbc(
     spark: SparkSession,
     url: str,
     table: str,
-    predicates: Sequence[str] | None = None,
+    predicates: Sequence[str],
     properties: dict[str, str] | None = None,
 ) -> DataFrame:
     """Read a queue table from a database; filters and limits are pushed to it.
 
     ``predicates`` are conditions that split the table; each is read by a task of its own.
     """
-    properties = properties or {}
-    if predicates:
-        return spark.read.jdbc(url, table, predicates=list(predicates), properties=properties)
-    return spark.read.jdbc(url, table, properties=properties)
+    if not predicates:
+        raise ValueError("predicates must split the table")
+    return spark.read.jdbc(url, table, predicates=list(predicates), properties=properties or {})
 
 
 def write_jdbc(
     df: DataFrame,
     url: str,
     table: str,
+    connections: int,
     mode: str = "append",
     batch_rows: int = 1000,
-    connections: int | None = None,
     properties: dict[str, str] | None = None,
 ) -> None:
     """Write rows to a database in batches, with at most ``connections`` connections."""
     writer = df.write.format("jdbc").options(**(properties or {}))
     writer = writer.option("url", url).option("dbtable", table).option("batchsize", batch_rows)
-    if connections is not None:
-        writer = writer.option("numPartitions", connections)
-    writer.mode(mode).save()
+    writer.option("numPartitions", connections).mode(mode).save()

@@ -23,8 +23,22 @@ def list_runs(spark: SparkSession, store: str, split: str) -> list[int]:
     return complete_versions(spark, _split_folder(store, split), "run")
 
 
-def store_records(records: DataFrame, store: str, split: str, run: int) -> None:
-    """Write a dataset as one run of a split, replacing an earlier write of that run."""
+def new_run(spark: SparkSession, store: str, splits: Iterable[str], run: int) -> None:
+    """Fail if one of the splits has a complete run with this token."""
+    for split in splits:
+        if run in list_runs(spark, store, split):
+            raise ValueError(f"run {run} of {split} exists")
+
+
+def store_records(
+    records: DataFrame, store: str, split: str, run: int, replace: bool = False
+) -> None:
+    """Write a dataset as one run of a split.
+
+    A complete run is replaced only if ``replace`` says so; the rest of a failed write always is.
+    """
+    if not replace:
+        new_run(records.sparkSession, store, [split], run)
     absent = set(split_named(split).columns) - set(records.columns)
     if absent:
         raise ValueError(f"{split} needs the columns {', '.join(sorted(absent))}")

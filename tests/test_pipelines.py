@@ -9,7 +9,8 @@ from reposift.plans import crawl
 from reposift.plans.contents import crawl_file_contents, wanted_hashes
 from reposift.session import new_folder, passing_tables, shared_dir, written_table
 from reposift.sources import error_log, folders, run_store
-from reposift.sources.queue_table import publish_queue, queue_versions, read_queue
+from reposift.sources.error_log import read_misses
+from reposift.sources.queue_table import change_queue, publish_queue, queue_versions, read_queue
 from reposift.streaming.ingest import ingest_project_lines
 from tests.conftest import rows
 from tests.test_history import COMMIT, FILE
@@ -115,9 +116,30 @@ def test_crawl_history_then_contents(spark, store):
     assert crawl_file_contents(spark, store, source, token=8)
     assert rows(run_store.read_split(spark, store, "CONTENTS")) == [("h1", "one")]
     assert rows(run_store.existing_hashes(spark, store)) == [("h1",)]
+    assert rows(read_misses(spark, store)) == [("h3", "missing object h3", 8)]
     assert not crawl_file_contents(spark, store, source, token=9)
 
 
+def test_a_used_token_fails_before_anything_is_marked(spark, store):
+    log = commits(spark)
+    start(spark, store, log)
+    assert crawl.crawl_commit_messages(spark, store, log, limit=2, token=5)
+    before = rows(read_queue(spark, store))
+    with pytest.raises(ValueError):
+        crawl.crawl_commit_messages(spark, store, log, limit=2, token=5)
+    assert rows(read_queue(spark, store)) == before
+
+
+def test_dead_claims_are_released_and_live_ones_stay(spark, store):
+    log = commits(spark)
+    start(spark, store, log)
+    for token in (5, 6):
+        change_queue(spark, store, lambda latest: q.claim(latest, token, 1))
+    crawl.recover(spark, store, [6])
+    queue = read_queue(spark, store)
+    assert (q.claimed(queue, 5).count(), q.claimed(queue, 6).count()) == (0, 1)
+
+
 def test_batch_bounds_reach_the_scan(spark, tmp_path):
     commits(spark).write.parquet(str(tmp_path / "log"))
     stored = spark.read.parquet(str(tmp_path / "log"))

@@ -171,8 +171,8 @@ def test_top_n(spark):
 @pytest.mark.parametrize("n", [0, 1, 3, 4, 100])
 def test_top_n_in_parallel(spark, n):
     copies = project_rows(spark).crossJoin(spark.range(40)).drop("id")
-    few, many = (p.filter_top_n(copies, n, max_gathered=m) for m in (1000, 0))
-    assert rows(few) == rows(many)
+    few, many = (p.filter_top_n(copies.repartition(m), n) for m in (1, 40))
+    assert rows(few) == rows(many) == rows(copies.orderBy(*copies.columns).limit(n))
 
 
 def test_limit_comes_before_distinct(spark):
@@ -199,13 +199,17 @@ def test_plan_parses_each_line_once(spark):
     assert "PythonUDF" not in plan
 
 
-def test_small_limit_takes_the_first_rows_of_each_task(spark):
+def test_limit_is_taken_in_each_task_and_group_before_the_last(spark):
     stored = written_table(project_rows(spark), "projects")
     plan = p.filter_top_n(stored, 2)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+    assert plan.count("WindowGroupLimit") == 2
 
 
-def test_limit_that_is_large_for_its_input_is_not_gathered(spark):
-    stored = written_table(project_rows(spark), "projects")
-    plan = p.filter_top_n(stored, 3, max_gathered=2)._jdf.queryExecution().executedPlan().toString()
-    assert "TakeOrderedAndProject" not in plan
+@pytest.mark.parametrize("text", ['"u"x,a,b', 'u,"open', '1,"a"b"c",2'])
+def test_fields_do_not_depend_on_the_length_of_a_line(spark, text):
+    padded = text + "," + "x" * 25_000
+    lines = spark.createDataFrame([(text,), (padded,), (line(),), (line() + ",z" * 30_000,)], "value string")
+    found = [r[1:] for r in p.split_lines(lines).collect()]
+    assert found[0] == found[1] == (None,) * len(p.LINE_FIELDS)
+    assert found[2][1:9] == found[3][1:9] and found[2][1] is not None

@@ -85,10 +85,10 @@ def test_load_ignoring_case(spark):
     assert rows(merged.filter("owner in ('B', 'Foo')"), "owner", "repo") == [("Foo", "Bar")]
 
 
-@pytest.mark.parametrize("gathered", [100, 0])
+@pytest.mark.parametrize("tasks", [1, 5])
 @pytest.mark.parametrize("limit,taken", [(0, 0), (1, 1), (2, 2), (9, 2), (None, 2)])
-def test_claim(spark, limit, taken, gathered):
-    claimed = q.claim(sample(spark), 77, limit, gathered)
+def test_claim(spark, limit, taken, tasks):
+    claimed = q.claim(sample(spark).repartition(tasks), 77, limit)
     assert claimed.count() == 6
     batch = rows(q.claimed(claimed, 77))
     assert batch == [("a", "1"), ("a", "2")][:taken]
@@ -239,8 +239,26 @@ def test_versions(spark, store):
     queue = queue_table.publish_queue(sample(spark), store)
     for token in range(3):
         queue = queue_table.publish_queue(q.claim(queue, token, 1), store)
-    assert queue_table.queue_versions(spark, store) == [3, 4]
+    assert queue_table.queue_versions(spark, store) == [1, 2, 3, 4]
     assert rows(q.claimed(queue, 1)) == [("a", "2")]
+    queue_table.vacuum_queue(spark, store)
+    assert queue_table.queue_versions(spark, store) == [3, 4]
+
+
+def test_a_reader_survives_later_versions(spark, store):
+    early = queue_table.publish_queue(sample(spark), store)
+    for token in range(3):
+        queue_table.publish_queue(q.claim(early, token, 1), store)
+    assert early.count() == 6
+
+
+def test_two_claims_of_one_version(spark, store):
+    queue = queue_table.publish_queue(sample(spark), store)
+    queue_table.publish_queue(q.claim(queue, 71, 1), store, expected=1)
+    with pytest.raises(queue_table.QueueMoved):
+        queue_table.publish_queue(q.claim(queue, 72, 1), store, expected=1)
+    both = queue_table.change_queue(spark, store, lambda latest: q.claim(latest, 72, 1))
+    assert q.claimed(both, 71).count() == q.claimed(both, 72).count() == 1
 
 
 def test_unfinished_version_is_not_read(spark, store):

@@ -33,9 +33,11 @@ def test_runs_are_one_view(spark, store):
     assert rows(run_store.read_split(spark, store, "CONTENTS", runs=[2]), "hash_code") == [("b",), ("c",)]
 
 
-def test_a_run_is_replaced(spark, store):
-    for pairs in ([("a", "1")], [("b", "2")]):
-        run_store.store_records(content(spark, *pairs), store, "CONTENTS", 1)
+def test_a_run_is_replaced_only_on_demand(spark, store):
+    run_store.store_records(content(spark, ("a", "1")), store, "CONTENTS", 1)
+    with pytest.raises(ValueError):
+        run_store.store_records(content(spark, ("b", "2")), store, "CONTENTS", 1)
+    run_store.store_records(content(spark, ("b", "2")), store, "CONTENTS", 1, replace=True)
     assert rows(run_store.read_split(spark, store, "CONTENTS")) == [("b", "2")]
 
 
