@@ -17,10 +17,11 @@ POSITIVES = 3000  # confirmed toxic documents that the model is fitted on, at mo
 UNLABELLED = 6000  # documents without a label, at most
 WORDS = 1000  # features
 LEAST_SHARE = 0.005  # of the positives that must hold a word
+LEAST_ROWS = 5  # positives that must hold it at least
 LEAST_DEVIATIONS = 4.5  # between a word's shares of positives and of unlabelled documents
 ROUNDS = 500
 RATE = 0.05
-DECAY = 1e-3
+DECAY = 1e-5
 
 _LETTERS = bytes(
     c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 or c == 39 else 32 for c in range(256)
@@ -116,7 +117,7 @@ def fit_toxicity(
     share = (F.col("p") + F.col("u")) / (n_p + n_u)
     contrast = F.abs(F.col("p") / n_p - F.col("u") / n_u)
     deviations = contrast / F.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
-    clear = rows.filter(F.col("p") >= max(2, LEAST_SHARE * n_p)).filter(deviations >= LEAST_DEVIATIONS)
+    clear = rows.filter(F.col("p") >= max(LEAST_ROWS, LEAST_SHARE * n_p)).filter(deviations >= LEAST_DEVIATIONS)
     best = clear.orderBy(F.desc(deviations), "word").limit(WORDS)
     vocabulary = [bytes(r["word"]) for r in best.select("word").collect()]
     place = {word: i for i, word in enumerate(vocabulary)}
