@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from reposift.llm.common import CHUNK_CHARS, ready, unused
 
 BUCKETS = 8192  # hashed byte trigrams
-SAMPLE = 3000  # labelled documents that the model is fitted on, over all languages
+SAMPLE = 2000  # labelled documents that the model is fitted on, over all languages
 ROUNDS = 80
 DECAY = 1e-4
 UNKNOWN = "und"
@@ -48,7 +48,23 @@ def profiles(texts: list[bytes | None]) -> np.ndarray:
     blank = (classes[:-2] == 0) & (classes[1:-1] == 0) & (classes[2:] == 0)
     cells = (owner * BUCKETS + hashed)[~blank]
     counts = np.bincount(cells, minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS)
-    return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float32)
+    shares = counts.astype(np.float32)
+    shares /= np.maximum(shares.sum(axis=1, keepdims=True), 1)
+    return np.sqrt(shares, out=shares)
+
+
+def _blocks(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Runs of the texts with few enough rows and bytes for one dense table."""
+    held: list[bytes] = []
+    size = 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size > CHUNK_CHARS or len(held) == 256:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def _curvature(x: np.ndarray) -> float:
@@ -69,9 +85,10 @@ def linear_svm(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weights and biases of linear SVMs with squared hinge loss, one per column of ``y``.
 
     ``y`` holds 1, -1, or 0 where a row takes no part. Both sides of a column weigh the same.
+    ``x`` is centred in place.
     """
     mean = x.mean(axis=0)
-    x = x - mean
+    x -= mean
     share = np.where(y > 0, 0.5 / np.maximum((y > 0).sum(axis=0), 1), 0) + np.where(
         y < 0, 0.5 / np.maximum((y < 0).sum(axis=0), 1), 0
     )
@@ -121,12 +138,18 @@ class LanguageModel:
         for f, i, j in model.pairs:
             one, other = model.languages[f][i], model.languages[f][j]
             targets.append((labels_ == one).astype(int) - (labels_ == other).astype(int))
-        model.weights, model.biases = linear_svm(profiles(texts), np.array(targets).T)
+        x = np.empty((len(texts), BUCKETS), dtype=np.float32)
+        at = 0
+        for block in _blocks(texts):
+            x[at : at + len(block)] = profiles(block)
+            at += len(block)
+        model.weights, model.biases = linear_svm(x, np.array(targets).T)
         return model
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
         """Language and confidence (0 to 1) of each text."""
-        margins = profiles(texts) @ self.weights + self.biases
+        blocks = [profiles(block) @ self.weights for block in _blocks(texts)]
+        margins = np.concatenate([*blocks, np.empty((0, len(self.biases)), np.float32)]) + self.biases
         n = len(self.families)
         family = margins[:, :n].argmax(axis=1)
         ranked = np.sort(margins[:, :n], axis=1)
@@ -200,26 +223,10 @@ def with_language(
     @F.pandas_udf(_RESULT)
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            langs, scores = [UNKNOWN] * len(batch), np.zeros(len(batch))
-            held: list[int] = []
-            size = 0
-            texts = batch.tolist()
-
-            def flush():
-                found, sure = model.predict([texts[i] for i in held])
-                for i, lang in zip(held, found):
-                    langs[i] = lang
-                scores[held] = sure
-
-            for i, text in enumerate(texts):
-                if text is not None:
-                    held.append(i)
-                    size += len(text)
-                if size > CHUNK_CHARS:
-                    flush()
-                    held, size = [], 0
-            if held:
-                flush()
+            langs, scores = np.full(len(batch), UNKNOWN, dtype=object), np.zeros(len(batch))
+            known = np.flatnonzero(batch.notna())
+            if len(known):
+                langs[known], scores[known] = model.predict([batch.iloc[i] for i in known])
             yield pd.DataFrame({"lang": langs, "score": scores})
 
     text = F.col(text_col)
