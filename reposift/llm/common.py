@@ -14,15 +14,20 @@ from reposift.session import new_folder
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
+# Most rows that a Python worker gets at once.
+BATCH_ROWS = 1_000
+
 # Texts that a task turns into arrays at once, in characters.
 CHUNK_CHARS = 1_000_000
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver has it."""
+    """Let Python workers import this package, and get few enough whole texts at once."""
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if ROOT not in known.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{ROOT}:{known}".strip(":")
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
 

@@ -21,13 +21,12 @@ from reposift.llm.common import CHUNK_CHARS, ready
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 # Words and pieces of text whose encodings a worker keeps; beyond it starts anew.
-KEPT = 300_000
-KEPT_PAIRS = 1_000_000
+KEPT = 700_000
+KEPT_PAIRS = 500_000
 
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _WHITE = regex.compile(r"\p{White_Space}+")
 _NEVER = 1 << 60
-_LEAF = {""}  # keys of a node at which a word ends and none goes on
 
 
 def byte_letters() -> list[str]:
@@ -63,6 +62,10 @@ class WordBpe:
         plain = [t.removesuffix(self.end) for t in self.vocab]
         self.begins = {t[:i] for t in plain for i in range(1, len(t) + 1)}
         self.table = [self.tokens.get(i, "") for i in range(max(self.tokens) + 1)]
+        self.ends = {
+            t.removesuffix(self.end): i for t, i in self.vocab.items() if t.endswith(self.end)
+        }
+        self.pairs: dict[int, bool] = {}
         self._clear()
 
     def _merge_tables(self, merges: list) -> None:
@@ -87,25 +90,19 @@ class WordBpe:
 
     def _clear(self) -> None:
         self.pieces: dict[str, int] = {}
-        self.word_ids: dict[str, list[int]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.words: dict[str, int] = {}
         self.ids, self.starts = array("i"), array("q", [0])
 
     def _stays(self, before: int, after: int) -> bool:
         """Whether two tokens side by side are never merged across their border."""
-        pair = (before, after)
-        known = self.pairs.get(pair)
-        if known is None:
-            rank = self.rank
-            known = not any(
-                (r := rank.get((x, y), _NEVER)) < until_x and r <= until_y and r != _NEVER
-                for x, until_x in self.right_edge[before]
-                for y, until_y in self.left_edge[after]
-            )
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            self.pairs[pair] = known
-        return known
+        rank = self.rank
+        left = self.left_edge[after]
+        for x, until_x in self.right_edge[before]:
+            for y, until_y in left:
+                merged = rank.get((x, y))
+                if merged is not None and merged < until_x and merged <= until_y:
+                    return False
+        return True
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of distinct words, given in byte letters."""
@@ -118,62 +115,102 @@ class WordBpe:
                 else:
                     node[letter] = node = {}
             node[""] = word
+        if len(self.pairs) > KEPT_PAIRS:
+            self.pairs.clear()
         found: dict[str, list[int]] = {}
-        vocab, begins, end, pairs, stays = self.vocab, self.begins, self.end, self.pairs, self._stays
-
-        def last_token(spans: list[tuple[int, int | None]]) -> tuple[int, int]:
-            """The token of ``spans`` (start, token) that stays apart from what stands before it."""
-            for start, token in spans:
-                if token is not None:
-                    if start == 0:
-                        return token, 0
-                    before = last[start]
-                    apart = pairs.get((before, token))
-                    if stays(before, token) if apart is None else apart:
-                        return token, start
-            raise ValueError("a letter is not in the vocabulary")
-
-        # By number of letters: the last token of the prefix, where it starts, and the starts
-        # from which the letters so far can still become a token.
+        vocab, ends, begins, pairs = self.vocab, self.ends, self.begins, self.pairs
+        # By number of letters: the last token of the prefix, and where it starts.
         path, last, starts = "", [-1], [0]
+        # Nodes with the starts from which the letters before them can still become a token.
         stack: list[tuple[dict, int, str, list[int]]] = [(trie, 0, "", [])]
         while stack:
             node, depth, letter, alive = stack.pop()
             if depth:
-                path = path[: depth - 1] + letter
+                before = depth - 1
+                path = path[:before] + letter
+                alive = [*alive, before]
+                word = node.get("")
+                if word is not None:
+                    # The last letter of a word differs from the same letter within one.
+                    for at in alive:
+                        token = ends.get(path[at:depth])
+                        if token is not None:
+                            if not at:
+                                break
+                            pair = last[at] << 20 | token
+                            if pair not in pairs:
+                                pairs[pair] = self._stays(last[at], token)
+                            if pairs[pair]:
+                                break
+                    ids = [token]
+                    while at:
+                        ids.append(last[at])
+                        at = starts[at]
+                    ids.reverse()
+                    found[word] = ids
+                    if len(node) == 1:
+                        continue
                 del last[depth:], starts[depth:]
-                parts = [(s, path[s:depth]) for s in (*alive, depth - 1)]
-                alive = [s for s, part in parts if part in begins]
-                if node.keys() != _LEAF:
-                    token, start = last_token([(s, vocab.get(part)) for s, part in parts])
-                    last.append(token)
-                    starts.append(start)
+                ahead, token = [], None
+                for at in alive:
+                    part = path[at:depth]
+                    if part not in begins:
+                        continue
+                    ahead.append(at)
+                    if token is None:
+                        token = vocab.get(part)
+                        if token is not None and at:
+                            pair = last[at] << 20 | token
+                            if pair not in pairs:
+                                pairs[pair] = self._stays(last[at], token)
+                            if not pairs[pair]:
+                                token = None
+                        if token is not None:
+                            last.append(token)
+                            starts.append(at)
+                alive = ahead
             for letter, child in node.items():
                 if letter:
                     stack.append((child, depth + 1, letter, alive))
-                    continue
-                token, at = last_token([(s, vocab.get(part + end)) for s, part in parts])
-                ids = [token]
-                while at:
-                    ids.append(last[at])
-                    at = starts[at]
-                found[child] = ids[::-1]
         return found
 
+    def _words_of(self, piece: str) -> list[str]:
+        """Words of a piece of text, in byte letters."""
+        if piece.isalpha():
+            words = [piece]
+        elif piece[:-1].isalpha() and piece[-1] in ".,;:!?":
+            words = [piece[:-1], piece[-1]]
+        else:
+            words = self.words_of(piece)
+        if piece.isascii() and piece.isprintable():
+            return words
+        letters = self.letters
+        return ["".join([letters[b] for b in word.encode()]) for word in words]
+
+    def _kept(self, word: str) -> dict[str, int]:
+        """Where a word's number is kept: ASCII is spelt alike, so such a word is a piece too."""
+        return self.pieces if word.isascii() else self.words
+
+    def _add(self, ids: list[int]) -> int:
+        self.ids.extend(ids)
+        self.starts.append(len(self.ids))
+        return len(self.starts) - 2
+
     def _learn(self, pieces: set[str]) -> None:
         """Encode pieces of text (without white space) that are new."""
-        letters = self.letters
-        spelt = {
-            piece: ["".join([letters[b] for b in word.encode()]) for word in self.words_of(piece)]
-            for piece in pieces
-        }
-        new = {word for words in spelt.values() for word in words if word not in self.word_ids}
-        self.word_ids.update(self.encode_words(new))
-        for piece, words in spelt.items():
-            self.pieces[piece] = len(self.starts) - 1
-            for word in words:
-                self.ids.extend(self.word_ids[word])
-            self.starts.append(len(self.ids))
+        spelt = [(piece, self._words_of(piece)) for piece in pieces]
+        new = {word for _, words in spelt for word in words if word not in self._kept(word)}
+        for word, ids in self.encode_words(new).items():
+            self._kept(word)[word] = self._add(ids)
+        for piece, words in spelt:
+            numbers = [self._kept(word)[word] for word in words]
+            if len(words) == 1:
+                self.pieces[piece] = numbers[0]
+            else:
+                ids: list[int] = []
+                for number in numbers:
+                    ids.extend(self.ids[self.starts[number] : self.starts[number + 1]])
+                self.pieces[piece] = self._add(ids)
 
     def _pieces_of(self, text: str) -> list[str]:
         if not text.isascii():
@@ -183,32 +220,42 @@ class WordBpe:
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text as int32. Null is encoded as the empty text."""
-        if len(self.pieces) > KEPT or len(self.word_ids) > KEPT:
+        if len(self.pieces) + len(self.words) > KEPT:
             self._clear()
-        parts: list[list[list[str] | int]] = []
+        flat: list[str] = []
+        parts: list[list[tuple[int, int] | int]] = []  # ranges of the flat list, or special ids
         for text in texts:
             text = text or ""
+            split = [text]
             if self.split_special and any(name in text for name in self.special):
                 split = self.split_special.split(text)
-                parts.append([self.special[s] if s in self.special else self._pieces_of(s) for s in split])
-            else:
-                parts.append([self._pieces_of(text)])
-        known = self.pieces
-        new = {p for text in parts for part in text if isinstance(part, list) for p in part if p not in known}
-        if new:
-            self._learn(new)
+            parts.append([])
+            for part in split:
+                if len(split) > 1 and part in self.special:
+                    parts[-1].append(self.special[part])
+                else:
+                    before = len(flat)
+                    flat += self._pieces_of(part)
+                    parts[-1].append((before, len(flat)))
+        numbers = list(map(self.pieces.get, flat))
+        if None in numbers:
+            missing = [i for i, number in enumerate(numbers) if number is None]
+            self._learn({flat[i] for i in missing})
+            for i in missing:
+                numbers[i] = self.pieces[flat[i]]
+        at = np.array(numbers, dtype=np.int64)
         ids, starts = np.frombuffer(self.ids, dtype=np.int32), np.frombuffer(self.starts, dtype=np.int64)
+        sizes = starts[at + 1] - starts[at]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        all_ids = ids[np.repeat(starts[at] - ends[:-1], sizes) + np.arange(int(ends[-1]))]
         for text in parts:
-            out = []
-            for part in text:
-                if isinstance(part, int):
-                    out.append(np.array([part], dtype=np.int32))
-                elif part:
-                    at = np.fromiter(map(known.__getitem__, part), dtype=np.int64, count=len(part))
-                    sizes = starts[at + 1] - starts[at]
-                    ends = np.cumsum(sizes)
-                    out.append(ids[np.repeat(starts[at] - ends + sizes, sizes) + np.arange(int(ends[-1]))])
-            yield out[0] if len(out) == 1 else np.concatenate([*out, np.empty(0, dtype=np.int32)])
+            out = [
+                np.array([part], dtype=np.int32)
+                if isinstance(part, int)
+                else all_ids[ends[part[0]] : ends[part[1]]]
+                for part in text
+            ]
+            yield out[0] if len(out) == 1 else np.concatenate(out)
 
     def decode(self, ids: np.ndarray) -> str:
         """The tokens, joined with spaces; special tokens are kept, unknown ids left out."""
