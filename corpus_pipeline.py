@@ -22,10 +22,16 @@ ORACLE_SQL = None
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those that are null or without a letter go."""
+    """Documents with a language: those that are null or without a letter go.
+
+    Where no document has a language to learn from, all with a letter stay.
+    """
     ready(spark)
     found, score = unused(docs, "found"), unused(docs, "found_score")
-    known = with_language(docs, fit_language_model(docs), names=(found, score))
+    model = fit_language_model(docs)
+    if not model.families:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    known = with_language(docs, model, names=(found, score))
     return known.filter(F.col(found) != UNKNOWN).select(*docs.columns)
 
 

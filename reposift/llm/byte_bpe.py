@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import public_tokenizers
@@ -16,7 +18,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 # Encodings of words that a worker keeps; beyond it starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 
 # A space after white space belongs to a run, and is not where a word starts.
 _RUN = re.compile(r"\s ")
@@ -43,10 +45,9 @@ class ByteBpe:
     """
 
     def __init__(self, vocabulary: str = VOCABULARY, ranks: str = RANKS):
-        self.library = Tokenizer.from_file(vocabulary)
-        self.library.no_padding()
-        self.library.no_truncation()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.vocabulary = vocabulary
+        with open(vocabulary, encoding="utf-8") as file:
+            self.special = [t["content"] for t in json.load(file)["added_tokens"]]
         with open(ranks, "rb") as lines:
             known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.ranks = tiktoken.Encoding(
@@ -54,6 +55,13 @@ class ByteBpe:
         )
         self._clear()
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        tokenizer = Tokenizer.from_file(self.vocabulary)
+        tokenizer.no_padding()
+        tokenizer.no_truncation()
+        return tokenizer
+
     def _clear(self) -> None:
         self.first, self.later = _Words(self, ""), _Words(self, " ")
         self.ids, self.starts = array("i"), array("q", [0])
@@ -99,3 +107,8 @@ def encoder(vocabulary: str = VOCABULARY, ranks: str = RANKS) -> ByteBpe:
     if key not in _encoders:
         _encoders[key] = ByteBpe(*key)
     return _encoders[key]
+
+
+def release() -> None:
+    """Forget the worker's encoders: a worker serves other operators after this one."""
+    _encoders.clear()

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reposift.llm.byte_bpe import RANKS, VOCABULARY, encoder
+from reposift.llm.byte_bpe import RANKS, VOCABULARY, encoder, release
 from reposift.llm.common import chunks, cut, ready
 
 LENGTH = 1024
@@ -155,6 +155,7 @@ def pack(
             for doc_id, ids in zip(batch["doc_id"], bpe.encode(batch["text"].tolist())):
                 doc_id = None if pd.isna(doc_id) else int(doc_id)
                 yield doc_id, 0, np.append(ids, np.int32(END)), len(ids) + 1
+        release()
 
     def leftovers(batches):
         for batch in batches:

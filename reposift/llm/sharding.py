@@ -161,8 +161,8 @@ def kd_shards(
     the rows. The law is ``bytes``: sizes (bytes of the text and one) are near equal.
 
     Medians are found by histograms of 2048 bins per node, refined four times: what reaches the
-    driver is one row per node. Slots number a shard's documents without gaps. Null texts have
-    size 1 and checksum 0; null metadata come first; repeated rows count each. ``source`` and
+    driver is one row per node. Slots number a shard's documents without gaps. Null texts count as
+    empty, with size 1 and checksum 0; null metadata come first; repeated rows count each. ``source`` and
     ``lang`` may be missing. An empty table gives no rows.
     """
     text = F.col(text_col)
@@ -175,7 +175,7 @@ def kd_shards(
             F.col(id_col).cast("long").alias("doc_id"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
             F.coalesce(F.crc32(text.cast("binary")), F.lit(0).cast("long")).alias("text_crc32"),
-            F.xxhash64(text).alias("text_hash"),
+            F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"),
             *metadata,
         ),
         "sizes",
