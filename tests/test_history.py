@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -150,6 +151,31 @@ def test_large_repositories_and_histories_are_split(spark):
     assert rows(got.groupBy("change_type").count()) == [("ADD", 51), ("MODIFY", 2999)]
 
 
+@pytest.mark.parametrize("unique", [True, False])
+def test_no_shuffle_of_snapshots_has_a_repository_alone_for_its_key(spark, tmp_path, unique):
+    for name, df in (("log", log(spark, "c0", "c1")), ("files", trees(spark, c0={"a": "1"}, c1={"a": "2"}))):
+        df.write.parquet(str(tmp_path / name))
+    commits, files = (spark.read.parquet(str(tmp_path / name)) for name in ("log", "files"))
+    batch = spark.createDataFrame([("o", "r")], "owner string, repo string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = h.snapshot_changes(commits, files, unique=unique, repositories=batch)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert changes(got) == [("c0", "ADD", "a", "1"), ("c1", "MODIFY", "a", "2")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not re.search(r"hashpartitioning\(owner#\d+, repo#\d+, \d+\)", plan)
+
+
+@pytest.mark.parametrize("largest", [1, 10, 1000])
+def test_numbering_of_repeated_rows_is_the_same_by_either_way(spark, largest):
+    data = [("k", n // 3, n % 3 // 2) for n in range(60)]
+    df = spark.createDataFrame(data, "k string, n long, x int").repartition(5)
+    want = [(i + 1, *row[1:]) for i, row in enumerate(sorted(data))]
+    assert rows(number_rows(df, ["k"], ["n"], largest), "position", "n", "x") == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("largest", [1, 10, 1000])
 def test_numbering(spark, largest):
     data = [("hot", n) for n in range(400)] + [(f"k{n}", n) for n in range(60)] + [(None, 7)]

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as contract
 from checks.compare import database, differences
+from reposift import samples
 from tests.conftest import rows
 
 DATA = contract.FLAGSHIP_DATA
@@ -23,6 +24,10 @@ def test_every_sql_belongs_to_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
+def test_every_event_is_an_attempt(spark):
+    assert samples.attempts(spark, DATA).count() == samples.table(spark, DATA, "events").count()
+
+
 def test_flagship(spark):
     assert rows(contract.entry(spark)) == [("PENDING", 375)]
 
