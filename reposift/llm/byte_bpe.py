@@ -18,7 +18,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 # Encodings of words that a worker keeps; beyond it starts anew.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
 
 # A space after white space belongs to a run, and is not where a word starts.
 _RUN = re.compile(r"\s ")

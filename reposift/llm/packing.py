@@ -19,6 +19,7 @@ OPEN = 64  # open windows of a task
 LEAST_CUT = 8  # tokens; a smaller gap is padded rather than filled with a cut piece
 FAN_IN = 32  # tasks whose leftovers one task merges
 END = 0  # id after each document
+FRAME_ROWS = 1_000  # pieces that a task hands over at once
 
 _PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long"
 _PLACED = f"{_PIECE}, sequence_id long, offset long, closed boolean, part long"
@@ -104,7 +105,7 @@ def _frames(rows: Iterator[tuple], part: int) -> Iterator[pd.DataFrame]:
 
     for row in rows:
         held.append(row)
-        if len(held) == 4_000:
+        if len(held) == FRAME_ROWS:
             yield frame()
             held = []
     if held:
