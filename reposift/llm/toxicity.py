@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,14 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from reposift.llm.common import ready
+from reposift.llm.common import cut, ready, sent
 
-POSITIVES = 3000  # confirmed toxic documents that the model is fitted on, at most
-UNLABELLED = 6000  # documents without a label, at most
-WORDS = 1000  # features
-LEAST_SHARE = 0.005  # of the positives that must hold a word
-LEAST_ROWS = 5  # positives that must hold it at least
-LEAST_DEVIATIONS = 4.8  # between a word's shares of positives and of unlabelled documents
+POSITIVES = 3000  # confirmed toxic documents that the weights are fitted on, about, at most
+UNLABELLED = 6000  # documents drawn from all without regard to labels, about, at most
+CHANCE = 1e-4  # that a word enters the vocabulary without a link with toxicity, at most
+LEAST_DRAWN = 5  # drawn documents of one side that hold a word with a weight of its own
+HELD_WORDS = 200_000  # words that a task counts before it hands them on
 ROUNDS = 500
 RATE = 0.05
 DECAY = 1e-5
@@ -51,7 +52,7 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tupl
         on_p, on_u = positive @ w[:-1] + w[-1], unlabelled @ w[:-1] + w[-1]
 
         def gradient(x, slope):
-            return np.append(slope @ x, slope.sum()) / len(x)
+            return np.append(slope @ x, slope.sum()) / x.shape[0]
 
         step = -prior * gradient(positive, _sigmoid(-on_p))
         if np.logaddexp(0, on_u).mean() >= prior * np.logaddexp(0, on_p).mean():
@@ -63,6 +64,33 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tupl
     return w[:-1], float(w[-1])
 
 
+class _Presence:
+    """A matrix of 0 and 1 by the rows and columns of the ones."""
+
+    __array_ufunc__ = None  # products with arrays are ours
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, shape: tuple[int, int]):
+        self.row, self.column, self.shape = row, column, shape
+
+    @classmethod
+    def of(cls, found: list[bytes], width: int) -> _Presence:
+        row = np.repeat(np.arange(len(found)), [len(x) // 4 for x in found])
+        return cls(row, np.frombuffer(b"".join(found), dtype="<i4"), (len(found), width))
+
+    def counts(self) -> np.ndarray:
+        return np.bincount(self.column, minlength=self.shape[1])
+
+    def only(self, columns: np.ndarray) -> _Presence:
+        stays = columns[self.column]
+        return _Presence(self.row[stays], self.column[stays], self.shape)
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.column], minlength=self.shape[0])
+
+    def __rmatmul__(self, slope: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, weights=slope[self.row], minlength=self.shape[1])
+
+
 @dataclass
 class ToxicityModel:
     words: dict[bytes, float]
@@ -70,9 +98,50 @@ class ToxicityModel:
 
 
 def _word_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents and confirmed positives that hold a word, added up within a task."""
+    every, toxic = Counter(), Counter()
+
+    def counted():
+        words = list(every)
+        rows = {"word": words, "p": [toxic[w] for w in words], "d": [every[w] for w in words]}
+        every.clear()
+        toxic.clear()
+        return pd.DataFrame(rows)
+
     for batch in batches:
-        rows = [(word, p) for text, p in zip(batch["text"], batch["positive"]) for word in words_of(text)]
-        yield pd.DataFrame(rows, columns=["word", "positive"])
+        for text, positive in zip(batch["text"], batch["positive"]):
+            words = words_of(text)
+            every.update(words)
+            if positive:
+                toxic.update(words)
+            if len(every) > HELD_WORDS:
+                yield counted()
+    yield counted()
+
+
+def _surprise(n_p: int, n: int):
+    """Column: -log of a bound on the chance that ``p`` of the ``d`` documents with a word are positive.
+
+    Hoeffding's bound for draws without replacement from ``n`` documents, ``n_p`` of them
+    positive. It holds for rare words too, where counted deviations mislead.
+    """
+    p, d = F.col("p").cast("double"), F.col("d").cast("double")
+    inside = F.when(p > 0, p * F.log(p * float(n) / (d * float(n_p)))).otherwise(0.0)
+    outside = F.when(p < d, (d - p) * F.log((d - p) * float(n) / (d * float(max(1, n - n_p))))).otherwise(0.0)
+    return inside + outside
+
+
+def _by_counts(p: np.ndarray, d: np.ndarray, n_p: int, n: int, prior: float, bias: float) -> np.ndarray:
+    """Weights of words from their counts alone.
+
+    A word that makes a text toxic rather than not lifts the score of a text without other words of the
+    vocabulary to its own odds, others move it by the change of odds. The share of negatives
+    with a word is raised by its deviation.
+    """
+    a, b = (p + 0.5) / (n_p + 1), (d + 0.5) / (n + 1)
+    odds = np.log(prior * a / (np.maximum(b - prior * a, 0) + np.sqrt(b / n + prior**2 * a / n_p)))
+    base = math.log(prior / (1 - prior))
+    return odds - np.where(odds > 0, min(bias, base), base)
 
 
 def fit_toxicity(
@@ -83,61 +152,83 @@ def fit_toxicity(
     positives: int = POSITIVES,
     unlabelled: int = UNLABELLED,
 ) -> ToxicityModel:
-    """Fit on at most ``positives`` confirmed toxic and ``unlabelled`` unlabelled documents.
+    """Words by counts over all documents, weights by a fit on a sample of them.
 
     ``labels`` (doc_id, toxic) are the rows to learn from; an id counts as toxic if one of its
-    rows says so. Both samples are drawn by a hash of the id. The class prior is the share of
-    toxic ids among the labelled ones. Without a toxic document nothing is learned: every score
-    is then the smallest one.
+    rows says so. The class prior is the share of toxic ids among the labelled ones. Without a
+    toxic document nothing is learned: every score is then the smallest one.
+
+    Every document, whatever its label or without one, serves as unlabelled text: so the class prior
+    is the share of toxic texts in it even if few or no documents lack a label, and rows whose ``toxic``
+    is null or 0 count. Words are counted over all of them and all confirmed positives. The
+    vocabulary is every word whose link with the positives is significant (:data:`CHANCE`);
+    driver and workers hold it.
+
+    Weights are fitted on about ``positives`` and ``unlabelled`` documents at most, drawn by a
+    hash of id and text. Words that fewer than :data:`LEAST_DRAWN` drawn documents of a side hold
+    get their weights from the counts over all documents.
     """
+    ready(docs.sparkSession)
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(
         F.max("toxic").alias("toxic")
     )
+    known = cut(known, "toxic_labels")
     prior = known.agg(F.avg("toxic")).first()[0]
-    ids = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"))
-    toxic = known.filter("toxic = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives)
-    other = (
-        ids.join(labels.select("doc_id"), "doc_id", "left_anti")
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(unlabelled)
-    )
-    drawn = toxic.withColumn("positive", F.lit(1)).unionByName(other.withColumn("positive", F.lit(0)))
-    # The sample is bounded by its two limits.
-    sample = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).join(
-        F.broadcast(drawn), "doc_id"
+    if not prior:
+        return ToxicityModel({}, -20.0)
+    prior = min(float(prior), 0.95)
+    toxic = cut(known.filter("toxic = 1"), "toxic_ids")
+    told = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).join(
+        sent(toxic), "doc_id", "left"
     )
-    rows = sample.mapInPandas(_word_rows, "word binary, positive int").groupBy("word").agg(
-        F.sum("positive").alias("p"), F.sum(1 - F.col("positive")).alias("u")
+    told = told.select(
+        "doc_id",
+        "text",
+        F.col("toxic").isNotNull().alias("positive"),
     )
-    sizes = {r["positive"]: r["count"] for r in sample.groupBy("positive").count().collect()}
-    n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
-    if not prior or not n_p or not n_u:
+    n_p, n = told.agg(F.count_if("positive"), F.count(F.lit(1))).first()
+    if not n_p:
         return ToxicityModel({}, -20.0)
-    prior = min(float(prior), 0.95)
-    share = (F.col("p") + F.col("u")) / (n_p + n_u)
-    contrast = F.abs(F.col("p") / n_p - F.col("u") / n_u)
-    deviations = contrast / F.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
-    clear = rows.filter(F.col("p") >= max(LEAST_ROWS, LEAST_SHARE * n_p)).filter(deviations >= LEAST_DEVIATIONS)
-    best = clear.orderBy(F.desc(deviations), "word").limit(WORDS)
-    vocabulary = [bytes(r["word"]) for r in best.select("word").collect()]
-    place = {word: i for i, word in enumerate(vocabulary)}
+    rows = told.select("text", "positive").mapInPandas(_word_rows, "word binary, p long, d long")
+    rows = rows.groupBy("word").agg(F.sum("p").alias("p"), F.sum("d").alias("d"))
+    clear = rows.filter(_surprise(n_p, n) >= -math.log(CHANCE)).collect()
+    clear = sorted((bytes(r["word"]), r["p"], r["d"]) for r in clear)
+    place = {word: i for i, (word, _, _) in enumerate(clear)}
+    vocabulary = frozenset(place)
 
     def features(batches):
         for batch in batches:
-            found = [sorted(place[w] for w in words_of(t) if w in place) for t in batch["text"]]
-            yield pd.DataFrame({"positive": batch["positive"], "found": found})
-
-    x = {1: [], 0: []}
-    for row in sample.mapInPandas(features, "positive int, found array<int>").collect():
-        x[row["positive"]].append(row["found"])
-    dense = []
-    for side in (1, 0):
-        part = np.zeros((len(x[side]), len(vocabulary)), dtype=np.float32)
-        for i, found in enumerate(sorted(x[side])):
-            part[i, found] = 1
-        dense.append(part)
-    weights, bias = fit_nnpu(*dense, prior)
-    return ToxicityModel(dict(zip(vocabulary, weights.tolist())), bias)
+            held = (sorted(place[w] for w in vocabulary & words_of(t)) for t in batch["text"])
+            found = [np.array(x, dtype="<i4").tobytes() for x in held]
+            yield batch[["draw", "as_positive", "as_any"]].assign(found=found)
+
+    def drawn(side: str, most: int, count: int):
+        hashed = F.xxhash64("doc_id", "text", F.lit(side))
+        return F.pmod(hashed, F.lit(1 << 30)) < min(1.0, most / count) * (1 << 30)
+
+    sample = told.select(
+        F.xxhash64("doc_id", "text").alias("draw"),
+        "text",
+        (F.col("positive") & drawn("positive", positives, n_p)).alias("as_positive"),
+        drawn("any", unlabelled, n).alias("as_any"),
+    ).filter("as_positive or as_any")
+    # Rows that repeat an id and a text are drawn once, so that copies do not exceed the bounds.
+    found = (
+        sample.mapInPandas(features, "draw long, as_positive boolean, as_any boolean, found binary")
+        .dropDuplicates(["draw"])
+        .collect()
+    )
+    sides = [
+        _Presence.of(sorted(bytes(r["found"]) for r in found if r[side]), len(clear))
+        for side in ("as_positive", "as_any")
+    ]
+    if not all(side.shape[0] for side in sides):
+        return ToxicityModel({}, -20.0)
+    own = np.maximum(*(side.counts() for side in sides)) >= LEAST_DRAWN
+    weights, bias = fit_nnpu(*(side.only(own) for side in sides), prior)
+    p, d = (np.array([row[i] for row in clear], dtype=np.float64) for i in (1, 2))
+    weights = np.where(own, weights, _by_counts(p, d, n_p, n, prior, bias))
+    return ToxicityModel({word: float(w) for (word, _, _), w in zip(clear, weights)}, bias)
 
 
 def toxicity_score(model: ToxicityModel, text):

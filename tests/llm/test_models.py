@@ -99,3 +99,21 @@ def test_toxicity_without_examples(spark):
     model = fit_toxicity(docs, labels)
     assert {r["predicted"] for r in with_toxicity(docs, model).collect()} == {0}
     assert with_toxicity(table(spark, []), model).collect() == []
+
+
+def test_toxicity_by_words_that_few_drawn_documents_hold(spark):
+    """Each of 12 words marks a twelfth of the toxic documents; a draw of 20 holds one or two of these."""
+    rng = random.Random(11)
+    rows, labels = [], []
+    for i in range(6_000):
+        words = spoken(rng, "en", rng.randint(20, 40)).split()
+        if i % 20 == 0:
+            words.append("ugly" + "abcdefghijkl"[rng.randrange(12)])
+        rows.append((i, " ".join(words)))
+        if rng.random() < 0.6:
+            labels.append((i, int(i % 20 == 0)))
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int").filter("doc_id < 5000")
+    model = fit_toxicity(table(spark, rows[:5_000]), labels, positives=20, unlabelled=400)
+    judged = {r["doc_id"]: r["predicted"] for r in with_toxicity(table(spark, rows[5_000:]), model).collect()}
+    assert np.mean([judged[i] for i in judged if i % 20 == 0]) > 0.9
+    assert np.mean([judged[i] for i in judged if i % 20]) < 0.03
