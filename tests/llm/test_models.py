@@ -117,3 +117,14 @@ def test_toxicity_by_words_that_few_drawn_documents_hold(spark):
     judged = {r["doc_id"]: r["predicted"] for r in with_toxicity(table(spark, rows[5_000:]), model).collect()}
     assert np.mean([judged[i] for i in judged if i % 20 == 0]) > 0.9
     assert np.mean([judged[i] for i in judged if i % 20]) < 0.03
+
+
+@pytest.mark.parametrize("clean", [0, None])
+def test_toxicity_where_every_document_has_a_label_row(spark, clean):
+    rng = random.Random(12)
+    rows = [(i, spoken(rng, "en", 30) + (" ugly" if i % 5 == 0 else "")) for i in range(500)]
+    told = [(i, clean if i % 2 and clean is None else int(i % 5 == 0)) for i, _ in rows]
+    labels = spark.createDataFrame(told, "doc_id long, toxic int")
+    model = fit_toxicity(table(spark, rows), labels)
+    judged = {r["doc_id"]: r["predicted"] for r in with_toxicity(table(spark, rows), model).collect()}
+    assert judged == {i: int(i % 5 == 0) for i, _ in rows}
