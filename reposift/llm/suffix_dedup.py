@@ -140,8 +140,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     search; the others are repeated from end to end.
 
     Suffixes are retained where a 20-word prefix is the smallest of 31 neighbours, so every
-    passage holds one. They are sorted by prefix; neighbours with equal prefixes are extended to
-    all passages around them, left and right, and passages are matched by hash instead of pair
+    passage holds one. Nothing is sorted: equal prefixes are found by grouping their hashes, all
+    windows of 50 words around them are listed, and these are matched by hash instead of pair
     by pair, so a passage in a third of all documents costs no more than its occurrences.
 
     Texts of fewer words, null texts and rows without an id are never reported. Rows that
