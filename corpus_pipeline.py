@@ -24,7 +24,8 @@ ORACLE_SQL = None
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those that are null or without a letter go.
 
-    Where no document has a language to learn from, all with a letter stay.
+    The language that the model predicts changes nothing here, as a text with a letter always gets
+    one: the stage rejects texts without a letter only. Where no document has a language to learn from, all with a letter stay.
     """
     ready(spark)
     found, score = unused(docs, "found"), unused(docs, "found_score")
