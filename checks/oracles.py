@@ -241,7 +241,8 @@ where not exists (
 where not completed and result is null and checkout_id is not null""",
     "failed": f"with {QUEUE} select {QUEUE_COLUMNS} from queue where result is not null",
     "like_any": f"with {QUEUE} select owner, repo, result from queue where {_RESET}",
-    "like_any_ignoring_case": f"with {QUEUE} select owner, repo, result from queue where {_RESET}",
+    "like_any_ignoring_case": f"""with {QUEUE} select owner, repo, result from queue
+where result ilike '%SERVICE%' or result ilike 'socket%closed%'""",
     "status_counts": f"""with {QUEUE}
 select {STATUS} as status, count(*) as count from queue group by 1""",
     "progress_by_token": f"""with {QUEUE}

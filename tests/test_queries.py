@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as contract
 from checks.compare import database, differences
+from checks.oracles import ORACLES
+from checks.queries import QUERIES
 from reposift import samples
 from tests.conftest import rows
 
@@ -24,6 +26,10 @@ def test_every_sql_belongs_to_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
+def test_every_core_query_has_sql():
+    assert set(ORACLES) == set(QUERIES)
+
+
 def test_every_event_is_an_attempt(spark):
     assert samples.attempts(spark, DATA).count() == samples.table(spark, DATA, "events").count()
 
@@ -32,6 +38,6 @@ def test_flagship(spark):
     assert rows(contract.entry(spark)) == [("PENDING", 375)]
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
 def test_query(spark, connection, name):
     assert differences(spark, name, DATA, connection) is None
