@@ -174,6 +174,24 @@ from (select distinct owner, repo from projects where not is_deleted and not is_
 _NUMBERED = "row_number() over (partition by owner, repo order by commit_time_s, {}) as position"
 _RESET = "o_orderkey % 29 not in (2, 3, 8, 9) and result is not null"
 
+# Claimed, then marked with the error of line 7 and completed, then one kind of error reset.
+CHANGED_QUEUE = f"""{QUEUE}, batch as (
+  select owner, repo, true as hit from queue where {_PENDING} order by owner, repo limit 1000),
+hits as (select distinct l_orderkey from lineitem where l_linenumber = 7),
+marked as (
+  select owner, repo, o_orderkey, l_orderkey is not null as marked,
+    case when l_orderkey is not null then {_TOKEN} when hit then {_TOKEN} else checkout_id end
+      as checkout_id,
+    result is not null as known,
+    case when l_orderkey is not null then coalesce(result, 'unknown') else result end as result,
+    completed or l_orderkey is not null as completed
+  from queue left join batch using (owner, repo) left join hits on l_orderkey = o_orderkey),
+changed as (
+  select owner, repo, o_orderkey, known,
+    case when not gone then checkout_id end as checkout_id,
+    case when not gone then result end as result, completed and not gone as completed
+  from (select *, coalesce(known and o_orderkey % 29 = 1, false) as gone from marked))"""
+
 ORACLES: dict[str, str] = {
     "scan_project_lines": f"""with {PROJECT_FIELDS}, dated as (
   select *, case when bad_kind = 3 then '2012-13-45 00:00:00' else day end as created_at
@@ -293,6 +311,40 @@ from queue""",
 select owner, repo, case when not completed and checkout_id not in ('1528559497001') then null
     else checkout_id end as checkout_id, result, completed
 from queue""",
+    "changed_queue": f"with {CHANGED_QUEUE} select {QUEUE_COLUMNS} from changed",
+    "changed_queue_compacted": f"""with {CHANGED_QUEUE}
+select owner, repo,
+  case when completed or checkout_id in ({_TOKEN}, '1528559497000') then checkout_id end
+    as checkout_id,
+  result, completed
+from changed""",
+    "stored_report": f"""with {CHANGED_QUEUE}
+select 0 as section, 'TIME' as status, '2018-06-09 15:51:37' as details,
+  cast(0 as bigint) as count
+union all
+select 1, {STATUS}, '', count(*) from changed group by 2
+union all
+select 2, 'IN_PROGRESS', checkout_id, count(*) from changed
+where not completed and result is null and checkout_id is not null group by 3
+union all
+select 3, 'ERROR', case when known then {BUCKET} else 'unknown' end, count(*) from changed
+where result is not null group by 3""",
+    "claims_of_two": f"""with {QUEUE}, {PROJECTS}, loaded as (
+  select owner, repo, row_number() over (order by owner, repo) as place
+  from (select distinct owner, repo from queue)),
+listed as (
+  select distinct owner, repo from projects where not is_deleted and not is_forked
+  and not exists (
+    select 1 from loaded where loaded.owner = projects.owner and loaded.repo = projects.repo)),
+waiting as (
+  select owner, repo from loaded where place > 400 union all select owner, repo from listed),
+second as (select owner, repo from waiting order by owner, repo limit 400)
+select owner, repo,
+  case when place <= 400 then {_TOKEN} when second.owner is not null then '1700000000001' end
+    as checkout_id,
+  cast(null as varchar) as result, false as completed
+from (select * from loaded union all select *, 401 from listed)
+  left join second using (owner, repo)""",
     "log_errors": f"""with {ERRORS}
 select owner, repo, error, cast({_TOKEN} as bigint) as run from errors""",
     "scan_commits": f"with {COMMITS} select *, {_NUMBERED.format('commit_id')} from commits",

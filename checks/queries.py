@@ -18,6 +18,7 @@ from reposift.plans import contents as content_plans
 from reposift.plans import crawl, project_load
 from reposift.session import new_folder
 from reposift.sources import error_log, files, queue_table, run_store
+from reposift.streaming import ingest
 from reposift.streaming.ingest import ingest_project_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -327,6 +328,59 @@ def log_errors(spark, sf_dir):
     return error_log.read_error_log(spark, store)
 
 
+def _changed_store(spark, sf_dir):
+    """A stored queue after a claim, errors and marks, all in its logs."""
+    store = new_folder(spark, "store")
+    queue_table.publish_queue(samples.queue(spark, sf_dir), store)
+    errors = samples.queue_errors(spark, sf_dir)
+    some = errors.filter("error is null")
+    for change in (
+        lambda q: queue.claim(q, TOKEN, 1000),
+        lambda q: queue.mark_error(q, some, "seq"),
+        lambda q: queue.mark_completed(q, some, TOKEN),
+        lambda q: queue.reset_errors(q, ["%Socket%closed%"]),
+    ):
+        queue_table.apply_change(spark, store, change)
+    return store
+
+
+@query
+def changed_queue(spark, sf_dir):
+    return queue_table.read_queue(spark, _changed_store(spark, sf_dir))
+
+
+@query
+def changed_queue_compacted(spark, sf_dir):
+    """The logs are written into their ranges, and one more change is made after that."""
+    store = _changed_store(spark, sf_dir)
+    queue_table.compact_queue(spark, store, pick=lambda version: list(version.ranges))
+    queue_table.apply_change(spark, store, lambda q: queue.release_stale(q, [TOKEN, 1528559497000]))
+    return queue_table.read_queue(spark, store)
+
+
+@query
+def stored_report(spark, sf_dir):
+    return queue_table.stored_report(spark, _changed_store(spark, sf_dir), "2018-06-09 15:51:37")
+
+
+@query
+def claims_of_two(spark, sf_dir):
+    """While a claimer is at work another one claims and a batch of lines arrives: nothing is lost."""
+    store = new_folder(spark, "store")
+    lines = samples.project_lines(spark, sf_dir)
+    queue_table.publish_queue(queue.load_queue(samples.queue(spark, sf_dir)), store)
+
+    def slow(latest):
+        if queue_table.latest_version(spark, store) == 1:
+            queue_table.apply_change(spark, store, lambda q: queue.claim(q, TOKEN, 400))
+            for _ in range(2):
+                ingest.add_lines(lines, store, ("lines", 0))
+        return queue.claim(latest, TOKEN + 1, 400)
+
+    queue_table.apply_change(spark, store, slow)
+    return queue_table.read_queue(spark, store)
+
+
 # --- commits and files ----------------------------------------------------------------
 
 

@@ -1,6 +1,7 @@
 """The work queue as a table. Every change gives a new DataFrame with one row per repository.
 
-Publish it as a new version (``reposift.sources.queue_table``); there is one writer.
+Further columns of the queue pass through all changes. ``reposift.sources.queue_table`` uses them
+to store the rows that a change has touched.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from reposift.functions.status import (
     is_pending,
     like_any,
 )
-from reposift.operators.ordering import first_rows
+from reposift.operators.ordering import within_first
 from reposift.schemas import QUEUE, QUEUE_KEY
 
 
@@ -60,7 +61,7 @@ def load_queue(
         same = [F.lower(k) for k in same]
     condition = (same[0] == F.col("known._owner")) & (same[1] == F.col("known._repo"))
     added = fresh.alias("fresh").join(known.alias("known"), condition, "left_anti")
-    return queue.select(*QUEUE.fieldNames()).unionByName(added)
+    return queue.unionByName(added, allowMissingColumns=True)
 
 
 def _update(
@@ -78,21 +79,19 @@ def _update(
         column: F.when(hit, value).otherwise(F.col(column))
         for column, value in assignments.items()
     }
-    return joined.withColumns(updated).select(*QUEUE.fieldNames())
+    return joined.withColumns(updated).select(*queue.columns)
 
 
 def claim(queue: DataFrame, token: int | str, limit: int | None = 1000) -> DataFrame:
     """Stamp the first ``limit`` pending rows by (owner, repo) with ``token``.
 
-    The claimed rows are a range of the key, so the last claimed key decides for each row
-    and no join is needed. ``limit=None`` claims all pending rows. The batch is
-    ``claimed(queue, token)``.
+    The claimed rows are a range of the key, so its last one decides for each row, without a
+    join or a shuffle of the queue (see :func:`reposift.operators.ordering.within_first`).
+    ``limit=None`` claims all pending rows. The batch is ``claimed(queue, token)``.
     """
     taken = is_pending()
     if limit is not None:
-        batch = first_rows(queue.filter(is_pending()).select(*QUEUE_KEY), limit, QUEUE_KEY)
-        last = batch.agg(F.max(F.struct(*QUEUE_KEY))).scalar()
-        taken = taken & F.coalesce(F.struct(*QUEUE_KEY) <= last, F.lit(False))
+        taken = taken & within_first(queue.filter(is_pending()), limit, QUEUE_KEY)
     stamped = F.when(taken, F.lit(str(token))).otherwise(F.col("checkout_id"))
     return queue.withColumn("checkout_id", stamped)
 

@@ -33,6 +33,22 @@ def error_counts(queue: DataFrame, ignore_case: bool = False) -> DataFrame:
     return queue.filter(is_failed()).groupBy(bucket).agg(_count())
 
 
+def details(
+    status: Column,
+    result: Column | None = None,
+    checkout_id: Column | None = None,
+    ignore_case: bool = False,
+) -> Column:
+    """What the report tells rows of one status apart by: the claim's token or the error bucket."""
+    result = F.col("result") if result is None else result
+    checkout_id = F.col("checkout_id") if checkout_id is None else checkout_id
+    return (
+        F.when(status == "IN_PROGRESS", checkout_id)
+        .when(status == "ERROR", error_bucket(result, ignore_case))
+        .otherwise("")
+    )
+
+
 def queue_report(queue: DataFrame, time: str, ignore_case: bool = False) -> DataFrame:
     """One report of (section, status, details, count).
 
@@ -41,12 +57,13 @@ def queue_report(queue: DataFrame, time: str, ignore_case: bool = False) -> Data
     counted by status and detail, and those counts give all sections.
     """
     status = queue_status()
-    detail = (
-        F.when(status == "IN_PROGRESS", F.col("checkout_id"))
-        .when(status == "ERROR", error_bucket(F.col("result"), ignore_case))
-        .otherwise("")
-    )
+    detail = details(status, ignore_case=ignore_case)
     counted = queue.groupBy(status.alias("status"), detail.alias("details")).agg(_count())
+    return report_of_counts(counted, time)
+
+
+def report_of_counts(counted: DataFrame, time: str) -> DataFrame:
+    """The report from rows per status and details (see :func:`queue_report`)."""
 
     def row(section: int, details: Column) -> Column:
         return F.struct(F.lit(section).alias("section"), details.alias("details"))
@@ -62,7 +79,7 @@ def queue_report(queue: DataFrame, time: str, ignore_case: bool = False) -> Data
         .groupBy("to.section", "status", "to.details")
         .agg(F.sum("count").alias("count"))
     )
-    header = queue.sparkSession.createDataFrame(
+    header = counted.sparkSession.createDataFrame(
         [(0, "TIME", time, 0)], "section int, status string, details string, count long"
     )
     return header.unionByName(sections)

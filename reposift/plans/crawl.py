@@ -7,12 +7,17 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposift.functions.status import is_pending
 from reposift.operators.history import REPO, commit_messages, file_history
-from reposift.operators.queue import claim, claimed, mark_completed, mark_error, release_stale
+from reposift.operators.queue import claim, mark_completed, mark_error, release_stale
+from reposift.schemas import QUEUE_KEY
 from reposift.session import passing_tables, run_token, written_table
 from reposift.sources.error_log import log_errors
-from reposift.sources.queue_table import change_queue, read_queue
+from reposift.sources.queue_table import (
+    apply_change,
+    claim_token,
+    queue_version,
+    touched_rows,
+)
 from reposift.sources.run_store import new_run, store_records
 
 # Fixed value: repositories per claim, unless told otherwise.
@@ -57,16 +62,17 @@ def _crawl(
     token: int | None,
 ) -> bool:
     """One turn of a crawl. ``extract`` gets the repositories to read and the range of their owners."""
-    queue = read_queue(spark, store)
-    if queue.filter(is_pending()).isEmpty():
+    if not queue_version(spark, store).pending():
         return False
     token = run_token() if token is None else token
     new_run(spark, store, [split], token)
-    if not queue.filter(F.col("checkout_id") == str(token)).isEmpty():
-        raise ValueError(f"the queue knows a claim {token}")
+    claim_token(spark, store, token)
     with passing_tables(spark):
-        queue = change_queue(spark, store, lambda q: claim(q, token, limit))
-        batch = written_table(claimed(queue, token), "batch")
+        # Only the first ranges with as many pending rows as wanted are read.
+        claimed = apply_change(
+            spark, store, lambda q: claim(q, token, limit), pick=lambda v: v.with_pending(limit)
+        )
+        batch = touched_rows(spark, store, claimed.segment).select(*QUEUE_KEY)
         owners = owner_range(batch)
         if owners is None:
             return False
@@ -89,7 +95,7 @@ def _crawl(
                 latest = mark_error(latest, failures, seq)
             return mark_completed(latest, batch, token)
 
-        change_queue(spark, store, ended)
+        apply_change(spark, store, ended, pick=lambda v: v.between(*owners))
     return True
 
 
@@ -143,11 +149,8 @@ def crawl_file_history(
 
 def recover(spark: SparkSession, store: str, live_tokens: Iterable[int | str] = ()) -> None:
     """Release the claims of turns that died; those of ``live_tokens`` stay."""
-    live = [str(token) for token in live_tokens]
-    queue = read_queue(spark, store)
-    dead = queue.filter("checkout_id is not null and not completed and result is null")
-    if not dead.filter(~F.col("checkout_id").isin(live) if live else F.lit(True)).isEmpty():
-        change_queue(spark, store, lambda q: release_stale(q, live))
+    live = list(live_tokens)
+    apply_change(spark, store, lambda q: release_stale(q, live))
 
 
 def drain(turn: Callable[[], bool], before: Callable[[], None] | None = None) -> int:

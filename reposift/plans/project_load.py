@@ -14,7 +14,7 @@ from reposift.operators.projects import (
 )
 from reposift.operators.queue import load_queue
 from reposift.sources.files import scan_project_lines
-from reposift.sources.queue_table import publish_queue, read_queue
+from reposift.sources.queue_table import change_queue, publish_queue
 
 
 def pairs_of_lines(
@@ -40,5 +40,6 @@ def load_project_queue(
     The queue is replaced, or with ``merge`` only the pairs it lacks are added.
     """
     pairs = pairs_of_lines(scan_project_lines(spark, path), filters, languages)
-    current = read_queue(spark, store) if merge else None
-    return publish_queue(load_queue(pairs, current, ignore_case), store)
+    if merge:
+        return change_queue(spark, store, lambda queue: load_queue(pairs, queue, ignore_case))
+    return publish_queue(load_queue(pairs, None, ignore_case), store)

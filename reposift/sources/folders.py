@@ -7,7 +7,9 @@ file is the rest of a write that failed, and readers do not see it.
 from __future__ import annotations
 
 import re
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -52,3 +54,59 @@ def write_version(df: DataFrame, parent: str, name: str, number: int, replace: b
         .parquet(path)
     )
     return path
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder, in order; none if there is no such folder."""
+    if not exists(spark, path):
+        return []
+    found = _file_system(spark, path).listStatus(_hadoop_path(spark, path))
+    return sorted(status.getPath().getName() for status in found)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    stream = _file_system(spark, path).open(_hadoop_path(spark, path))
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file with its whole text; false if there is one of this name already.
+
+    Of several writers that do so at once, one creates the file. On a local file system the text
+    is written aside and linked to the name; elsewhere it is renamed without overwriting, which
+    HDFS does in one step. A store without such a rename is safe for one writer only.
+    """
+    parent, name = path.rsplit("/", 1)
+    aside = f"{parent}/.{name}-{uuid.uuid4().hex}"
+    system, target = _file_system(spark, path), _hadoop_path(spark, path)
+    stream = system.create(_hadoop_path(spark, aside), False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    try:
+        if system.getScheme() == "file":
+            file = spark._jvm.java.io.File
+            source = file(system.resolvePath(_hadoop_path(spark, aside)).toUri().getPath()).toPath()
+            link = source.resolveSibling(name)
+            spark._jvm.java.nio.file.Files.createLink(link, source)
+        else:
+            rename = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+            never = spark.sparkContext._gateway.new_array(rename, 1)
+            never[0] = rename.valueOf("NONE")
+            context = spark._jvm.org.apache.hadoop.fs.FileContext
+            context.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(
+                _hadoop_path(spark, aside), target, never
+            )
+        return True
+    except Py4JJavaError as error:
+        if not exists(spark, path):
+            raise
+        if "AlreadyExists" not in error.java_exception.getClass().getName():
+            raise
+        return False
+    finally:
+        delete(spark, aside)

@@ -10,7 +10,21 @@ from pyspark.sql.streaming import StreamingQuery
 from reposift.operators.projects import DEFAULT_FILTERS, top_n_of
 from reposift.operators.queue import load_queue
 from reposift.plans.project_load import pairs_of_lines
-from reposift.sources.queue_table import publish_queue, read_queue
+from reposift.sources.queue_table import change_queue
+
+
+def add_lines(
+    lines: DataFrame,
+    store: str,
+    batch: tuple[str, int],
+    filters: str | Iterable[str] = DEFAULT_FILTERS,
+    languages: Sequence[str] | None = None,
+) -> DataFrame:
+    """Add the pairs of one batch of lines, a source and a number, unless the ledger knows it."""
+    pairs = pairs_of_lines(lines, filters, languages)
+    return change_queue(
+        lines.sparkSession, store, lambda queue: load_queue(pairs, queue), batch=batch
+    )
 
 
 def ingest_project_lines(
@@ -24,8 +38,10 @@ def ingest_project_lines(
 ) -> StreamingQuery:
     """Add the pairs of all files below ``path`` that the checkpoint does not know yet, then end.
 
-    Each micro-batch inserts the pairs the stored queue lacks, so replaying one after a
-    failure changes nothing, and no state grows with the stream.
+    Each micro-batch inserts the pairs the stored queue lacks, and its number goes to the ledger
+    of the queue with them, under the name of the checkpoint: one that is replayed after a
+    failure is not applied again. Claims and marks that others make meanwhile stay. No state grows
+    with the stream.
     """
     if top_n_of(filters) is not None:
         raise ValueError("a limit over all projects has no meaning for a stream")
@@ -34,9 +50,7 @@ def ingest_project_lines(
         reader = reader.option("maxFilesPerTrigger", max_files_per_batch)
 
     def add(lines: DataFrame, batch_id: int) -> None:
-        session = lines.sparkSession
-        pairs = pairs_of_lines(lines, filters, languages)
-        publish_queue(load_queue(pairs, read_queue(session, store)), store)
+        add_lines(lines, store, (checkpoint, batch_id), filters, languages)
 
     return (
         reader.load(path)

@@ -1,5 +1,8 @@
 import pytest
 
+from pyspark.sql import functions as F
+
+from reposift.operators import ordering
 from reposift.operators import projects as p
 from reposift.plans.project_load import load_project_queue, pairs_of_lines
 from reposift.schemas import PROJECT
@@ -199,11 +202,43 @@ def test_plan_parses_each_line_once(spark):
     assert "PythonUDF" not in plan
 
 
-def test_limit_is_taken_in_each_task_and_group_before_the_last(spark):
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_small_limit_is_merged_in_one_task(spark):
     stored = written_table(project_rows(spark), "projects")
-    plan = p.filter_top_n(stored, 2)._jdf.queryExecution().executedPlan().toString()
-    assert "TakeOrderedAndProject" in plan
-    assert plan.count("WindowGroupLimit") == 2
+    assert "TakeOrderedAndProject" in plan_of(p.filter_top_n(stored, 2))
+
+
+def test_a_large_limit_is_one_filter(spark):
+    stored = written_table(spark.range(50_000).select(F.lit("o").alias("owner"), F.md5(F.col("id").cast("string")).alias("repo")).repartition(60), "pairs")
+    first = ordering.first_rows(stored, 20_000, ["owner", "repo"])
+    assert "Exchange" not in plan_of(first) and "TakeOrdered" not in plan_of(first)
+    assert rows(first) == rows(stored.orderBy("owner", "repo").limit(20_000))
+
+
+@pytest.mark.parametrize("n", [1, 5, 7_000, 9_999, 10_000, 19_999, 20_000, 20_001])
+def test_nth_row_among_ties_and_nulls(spark, monkeypatch, n):
+    monkeypatch.setattr(ordering, "MERGED", 0)
+    monkeypatch.setattr(ordering, "SAMPLE", 64)
+    kind = F.when(F.col("id") % 5 == 0, None).otherwise(F.lit("x"))
+    df = spark.range(20_000).select((F.col("id") % 3).alias("third"), kind.alias("kind"))
+    got = ordering.first_rows(df, n, ["third"]).groupBy("third", "kind").count()
+    want = df.orderBy("third", "kind").limit(n).groupBy("third", "kind").count()
+    assert rows(got) == rows(want)
+    found = ordering.nth_row(df, n, ["third", "kind"])
+    assert (found is None) == (n > 20_000)
+    if found:
+        assert found.below < n <= found.upto
+
+
+def test_within_first(spark, monkeypatch):
+    df = spark.range(1_000)
+    for merged in (10**6, 0):
+        monkeypatch.setattr(ordering, "MERGED", merged)
+        for n in (0, 1, 400, 1_000, 2_000):
+            assert df.filter(ordering.within_first(df, n, ["id"])).count() == min(n, 1_000)
 
 
 @pytest.mark.parametrize("text", ['"u"x,a,b', 'u,"open', '1,"a"b"c",2'])
