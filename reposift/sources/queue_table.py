@@ -31,7 +31,7 @@ from reposift.sources.folders import create_once, delete, exists, names, read_te
 
 # A range is written anew when its log has as many segments, or so many rows for one of its base.
 LOG_SEGMENTS = 16
-LOG_ROWS = 2.0
+LOG_ROWS = 4.0
 
 # Counts that the driver gets; more are written by the tasks.
 COLLECTED = 10_000
@@ -301,13 +301,11 @@ def _write_base(rows: DataFrame, store: str, state: Version, piece: Column | Non
     ]
 
 
-def publish_queue(
-    queue: DataFrame, store: str, expected: int | None = None, batch: tuple[str, int] | None = None
-) -> DataFrame:
+def publish_queue(queue: DataFrame, store: str, expected: int | None = None) -> DataFrame:
     """Replace the queue, as the next version, and read it back.
 
     With ``expected``, the version that it was made from, a later one makes it fail; without, the
-    queue replaces whatever version is the latest in the end. ``batch`` goes to the ledger.
+    queue replaces whatever version is the latest in the end.
     """
     spark = queue.sparkSession
     while True:
@@ -315,7 +313,7 @@ def publish_queue(
         if expected is not None and state.number != expected:
             raise QueueMoved(f"the queue is at version {state.number}, not {expected}")
         ranges = _write_base(queue, store, state)
-        if _commit(spark, store, _after(state, ranges, batch)):
+        if _commit(spark, store, _after(state, ranges)):
             return read_queue(spark, store, state.number + 1)
         _discard(spark, store, {r.base for r in ranges})
         if expected is not None:
@@ -384,13 +382,26 @@ def apply_change(
                 applied = _log_change(spark, store, state, change, pick, batch)
                 compact_queue(spark, store)
                 return applied
-            publish_queue(change(spark.createDataFrame([], QUEUE)), store, state.number, batch)
-            return Applied(queue_version(spark, store, state.number + 1))
+            return _first_rows(spark, store, state, change, batch)
         except QueueMoved:
             if not left:
                 raise
 
 
+def _first_rows(
+    spark: SparkSession, store: str, state: Version, change: Change, batch: tuple[str, int] | None
+) -> Applied:
+    """Apply a change to a queue without rows: what it returns is the base of the first ranges."""
+    ranges = _write_base(change(spark.createDataFrame([], QUEUE)), store, state)
+    if not ranges and batch is None:
+        return Applied(state)
+    after = _after(state, ranges, batch)
+    if _commit(spark, store, after):
+        return Applied(after)
+    _discard(spark, store, {r.base for r in ranges})
+    raise QueueMoved(f"another writer has published version {after.number}")
+
+
 def touched_rows(spark: SparkSession, store: str, segment: str | None) -> DataFrame:
     """The rows that a change has written; they stay as long as its version."""
     if segment is None:

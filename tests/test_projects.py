@@ -211,7 +211,8 @@ def test_a_small_limit_is_merged_in_one_task(spark):
     assert "TakeOrderedAndProject" in plan_of(p.filter_top_n(stored, 2))
 
 
-def test_a_large_limit_is_one_filter(spark):
+def test_a_large_limit_is_one_filter(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "MERGED", 10_000)
     stored = written_table(spark.range(50_000).select(F.lit("o").alias("owner"), F.md5(F.col("id").cast("string")).alias("repo")).repartition(60), "pairs")
     first = ordering.first_rows(stored, 20_000, ["owner", "repo"])
     assert "Exchange" not in plan_of(first) and "TakeOrdered" not in plan_of(first)
