@@ -71,29 +71,6 @@ def only(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(sent(ids), ids.columns[0], "left_semi")
 
 
-def unused(df: DataFrame, name: str) -> str:
-    """A column name like ``name`` that ``df`` does not have."""
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name = f"_{name}"
-    return name
-
-
-# Ids that may be sent to every executor: 16 bytes each, about 32 MB.
-SENT_IDS = 2_000_000
-
-
-def only(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose key is among ``ids``, a written table of distinct keys.
-
-    The keys are counted. Up to :data:`SENT_IDS` they are sent to the rows; beyond, both sides
-    are shuffled.
-    """
-    (key,) = ids.columns
-    few = ids.count() <= SENT_IDS
-    return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
-
-
 def chunks(batches: Iterator[pd.DataFrame], text: str = "text") -> Iterator[pd.DataFrame]:
     """Pieces of the batches of about :data:`CHUNK_CHARS` characters, at least one row each."""
     for batch in batches:

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from reposift.llm.common import cut, table
 from reposift.llm.exact_dedup import exact_duplicates
+from reposift.llm.html_extract import extract_articles
 from reposift.llm.language import fit_language_model, held_out, with_language
+from reposift.llm.lexical_search import rank_documents
 from reposift.llm.near_dedup import near_duplicates
 from reposift.llm.packing import pack
+from reposift.llm.periodic_runs import periodic_runs, planted
 from reposift.llm.sharding import kd_shards
 from reposift.llm.suffix_dedup import repeated_passages
 from reposift.llm.toxicity import fit_toxicity, with_toxicity
@@ -167,3 +170,75 @@ qualify rank <= 5
 @query
 def op3_sharding(spark, sf_dir):
     return kd_shards(table(spark, sf_dir, "documents"), shards=8)
+
+
+@query
+def op11_lexical_search(spark, sf_dir):
+    """The 50 best of all documents for every benchmark item."""
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_lexical_search"] = r"""
+with docs as (
+    select row_number() over () as row, doc_id,
+           regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+    from documents
+), sizes as (
+    select count(*) as n_docs, sum(len(terms)) as n_terms from docs where len(terms) > 0
+), asked as (
+    select distinct item_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from benchmark where item_id is not null
+), words as (
+    select row, doc_id, len(terms) as n, unnest(terms) as term from docs
+), held as (
+    select row, doc_id, n, term, count(*) as tf from words
+    where term in (select term from asked) group by all
+), weights as (
+    select term, cast(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) as bigint) as w
+    from held, sizes group by term
+), scored as (
+    select item_id, row, doc_id,
+           cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) as bigint)
+             as score
+    from asked join held using (term) join weights using (term), sizes
+    where doc_id is not null
+    group by all
+)
+select item_id, cast(row_number() over best as integer) as rank, doc_id, score
+from scored where score > 0
+window best as (partition by item_id order by score desc, doc_id)
+qualify rank <= 50
+"""
+
+
+@query
+def op12_html_extraction(spark, sf_dir):
+    """The article of every page, by the wrapper of its host."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract_articles(pages)
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    """The runs of every document, a tenth of them with a repeating end (see ``planted``)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic_runs(docs).drop("text")
+    longest = F.array_max(
+        F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p")))
+    )
+    start, length, period = -longest["s"], longest["n"], -longest["p"]
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        start.alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
