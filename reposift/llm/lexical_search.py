@@ -127,7 +127,7 @@ def _one_pass(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
             items, weights, n_docs, n_terms, k = sent.value
             best = Best(items, k, bounds.value)
             for block in _blocks(batches):
-                best.add(Block(block, weights, n_docs, n_terms))
+                best.add(Block(block, items, weights, n_docs, n_terms))
             yield from best.frames()
 
         return search
@@ -156,9 +156,15 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Block:
-    """Inverted lists of some documents: of terms, and, as they are asked for, of pairs of terms."""
+    """Inverted lists of some documents, and the joint maxima of the pairs of terms that items have.
 
-    def __init__(self, rows: pd.DataFrame, weights: np.ndarray, n_docs: int, n_terms: int):
+    The list of a pair is the intersection of two lists that the block has anyway, so only its
+    maximum is kept; pairs that several items have are intersected once.
+    """
+
+    def __init__(
+        self, rows: pd.DataFrame, items: list[Item], weights: np.ndarray, n_docs: int, n_terms: int
+    ):
         self.doc_ids = rows["doc_id"].to_numpy(dtype=np.int64)
         held = rows["terms"].map(len).to_numpy()
         doc = np.repeat(np.arange(len(rows), dtype=np.int64), held)
@@ -175,6 +181,7 @@ class Block:
         most = np.zeros(len(weights), dtype=np.int64)
         np.maximum.at(most, term, impact)
         self.most = most
+        self.groups = [self.bounds(item.terms) for item in items]
 
     def list(self, term: int) -> tuple[np.ndarray, np.ndarray]:
         own = slice(self.ends[term], self.ends[term + 1])
@@ -201,9 +208,9 @@ class Block:
             groups.append(([a], alone) if b is None else ([a, b], max(alone, self.joint(a, b))))
         return groups
 
-    def scores(self, terms: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Documents whose score is at least ``least``, and perhaps others, with the scores of the former."""
-        groups = self.bounds(terms)
+    def scores(self, item: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The documents whose score for the item of this number is above 0 and at least ``least``."""
+        groups = self.groups[item]
         rest = np.cumsum([bound for _, bound in groups][::-1])[::-1] if groups else np.empty(0)
         total = np.zeros(len(self.doc_ids), dtype=np.int64)
         alive = None
@@ -240,8 +247,8 @@ class Best:
         self.found = [(empty, empty)] * len(items)
 
     def add(self, block: Block) -> None:
-        for i, item in enumerate(self.items):
-            rows, scores = block.scores(item.terms, self.least[i])
+        for i in range(len(self.items)):
+            rows, scores = block.scores(i, self.least[i])
             if not len(rows):
                 continue
             ids = np.concatenate((self.found[i][0], block.doc_ids[rows]))

@@ -6,7 +6,7 @@ of a host's pages are aligned one after the other: parts that both have are alig
 that one lacks becomes optional, one that comes again a repetition, a stretch in another order a
 repeated group of optional parts, and a text that differs a slot. No alternatives are needed, and
 every page of the host matches. The slots of the finished wrapper, told by their place in it, are
-the article's, or the page's frame.
+the article's, or the page's frame, and so are texts that a slot has on all pages.
 """
 
 from __future__ import annotations
@@ -197,8 +197,8 @@ def pieces_of(page: str | None) -> list[Piece]:
 
 # --- expressions ----------------------------------------------------------------------
 #
-# A part is [label, how often, text, parts]: how often is "1", "?", "+" or "*"; a text slot has the
-# label "#" and the digest of its text, or "" if texts differ; a repeated group has the label "()".
+# A part is [label, how often, texts, parts]: how often is "1", "?", "+" or "*"; a text slot has the
+# label "#" and the digests of the texts that all pages have there; a repeated group has the label "()".
 
 Part = list
 
@@ -210,7 +210,12 @@ def _digest(text: str) -> str:
 def expression_of(pieces: Iterable[Piece]) -> list[Part]:
     """The expression of one page."""
     shown = [(p.path, " ".join(p.text.split())) for p in pieces]
-    return _sequence([(path, text) for path, text in shown if text], 0)
+    return _listed(_sequence([(path, text) for path, text in shown if text], 0))
+
+
+def _listed(parts: list[Part]) -> list[Part]:
+    """The parts of one page with their texts, sets while they are gathered, as lists."""
+    return [[label, how, sorted(texts), _listed(inner)] for label, how, texts, inner in parts]
 
 
 def _sequence(pieces: list[tuple], depth: int) -> list[Part]:
@@ -218,9 +223,9 @@ def _sequence(pieces: list[tuple], depth: int) -> list[Part]:
     for key, own in groupby(pieces, key=lambda p: p[0][depth] if len(p[0]) > depth else None):
         own = list(own)
         if key is None:
-            parts += [["#", "1", _digest(text), []] for _, text in own]
+            parts += [["#", "1", {_digest(text)}, []] for _, text in own]
         else:
-            parts.append([key[0], "1", "", _sequence(own, depth + 1)])
+            parts.append([key[0], "1", set(), _sequence(own, depth + 1)])
     return _once_each(parts)
 
 
@@ -235,9 +240,35 @@ def _optional(how: str) -> str:
     return "*" if how in "+*" else "?"
 
 
-def _merged(a: Part, b: Part, again: bool = False) -> Part:
-    text = a[2] if a[2] == b[2] else ""
-    return [a[0], _joined(a[1], b[1], again), text, aligned(a[3], b[3])]
+def _merged(a: Part, b: Part) -> Part:
+    """One part for those of two pages."""
+    texts = a[2] if a[2] == b[2] else sorted({*a[2]} & {*b[2]})
+    return [a[0], _joined(a[1], b[1]), texts, aligned(a[3], b[3])]
+
+
+def _instance(a: Part, b: Part, again: bool = False) -> Part:
+    """One part for those of two elements of one page, which has the texts of both."""
+    if isinstance(a[2], set):
+        texts = a[2]
+        texts.update(b[2])
+    else:
+        texts = a[2] if a[2] == b[2] else sorted({*a[2], *b[2]})
+    inner = a[3] if a[3] == b[3] else _once_each(_both(a[3], b[3], _instance))
+    return [a[0], _joined(a[1], b[1], again), texts, inner]
+
+
+def _again(a: Part, b: Part) -> Part:
+    """One part for two that come after each other."""
+    return _instance(a, b, again=True)
+
+
+def _loose(part: Part) -> Part:
+    """A part that another page lacks: optional, and without a text that all have."""
+    return [part[0], _optional(part[1]), [], [_bare(p) for p in part[3]]]
+
+
+def _bare(part: Part) -> Part:
+    return [part[0], part[1], [], [_bare(p) for p in part[3]]]
 
 
 def _labels(part: Part) -> list[str]:
@@ -254,48 +285,70 @@ def _once_each(parts: list[Part]) -> list[Part]:
             where.update((label, len(out)) for label in _labels(part))
             out.append(part)
         elif first == len(out) - 1 and out[-1][0] == part[0] != "()":
-            out[-1] = _merged(out[-1], part, again=True)
+            out[-1] = _again(out[-1], part)
         else:
             inside: dict[str, Part] = {}
             for member in [*out[first:], part]:
                 for own in member[3] if member[0] == "()" else [member]:
                     own = [own[0], _optional(own[1]), *own[2:]]
                     known = inside.get(own[0])
-                    inside[own[0]] = own if known is None else _merged(known, own, again=True)
-            out[first:] = [["()", "*", "", list(inside.values())]]
+                    inside[own[0]] = own if known is None else _again(known, own)
+            out[first:] = [["()", "*", [], [*inside.values()]]]
             where.update((label, first) for label in inside)
     return out
 
 
 def aligned(a: list[Part], b: list[Part]) -> list[Part]:
-    """One expression for what either of two stands for."""
-    if a == b:
-        return a
+    """One expression for what either of two, of different pages, stands for."""
+    return a if a == b else _once_each(_both(a, b, _merged))
+
+
+def _members(part: Part) -> list[Part]:
+    return part[3] if part[0] == "()" else [part]
+
+
+def _both(a: list[Part], b: list[Part], merge) -> list[Part]:
+    """Two sequences as one: parts that share a label, in the longest such order, are merged.
+
+    Of the others, a label that both have stands at both places, and one that only one has is
+    optional.
+    """
     keys_a = [frozenset(_labels(p)) for p in a]
     keys_b = [frozenset(_labels(p)) for p in b]
-    # Longest common subsequence of parts that share a label.
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
             best[i][j] = max(best[i + 1][j], best[i][j + 1])
             if keys_a[i] & keys_b[j]:
                 best[i][j] = max(best[i][j], best[i + 1][j + 1] + 1)
+    own_a, own_b = ({m[0]: m for p in side for m in _members(p)} for side in (a, b))
+
+    def member(label: str) -> Part:
+        if label in own_a and label in own_b:
+            return merge(own_a[label], own_b[label])
+        lone = own_a.get(label) or own_b[label]
+        return _loose(lone) if merge is _merged else [lone[0], _optional(lone[1]), *lone[2:]]
+
+    def part_of(*parts: Part) -> Part:
+        """One part for those at one place, or for the only one there."""
+        labels = list(dict.fromkeys(label for p in parts for label in _labels(p)))
+        if all(p[0] != "()" for p in parts):
+            return member(labels[0])
+        members = [member(label) for label in labels]
+        return ["()", "*", [], [[m[0], _optional(m[1]), *m[2:]] for m in members]]
+
     parts, i, j = [], 0, 0
     while i < len(a) and j < len(b):
         if keys_a[i] & keys_b[j] and best[i][j] == best[i + 1][j + 1] + 1:
-            if a[i][0] == b[j][0] != "()":
-                parts.append(_merged(a[i], b[j]))
-            else:
-                parts += [["()", "*", "", p[3] if p[0] == "()" else [p]] for p in (a[i], b[j])]
+            parts.append(part_of(a[i], b[j]))
             i, j = i + 1, j + 1
         elif best[i][j] == best[i + 1][j]:
-            parts.append([a[i][0], _optional(a[i][1]), *a[i][2:]])
+            parts.append(part_of(a[i]))
             i += 1
         else:
-            parts.append([b[j][0], _optional(b[j][1]), *b[j][2:]])
+            parts.append(part_of(b[j]))
             j += 1
-    parts += [[p[0], _optional(p[1]), *p[2:]] for p in [*a[i:], *b[j:]]]
-    return _once_each(parts)
+    return parts + [part_of(p) for p in [*a[i:], *b[j:]]]
 
 
 class Wrapper(NamedTuple):
@@ -331,7 +384,7 @@ def wrapper_of(text: str) -> Wrapper:
 FRAME = 9
 
 
-def _tier(path: tuple[str, ...], constant: bool) -> int:
+def _tier(path: tuple[str, ...]) -> int:
     """How near a slot is to the article: 0 in it, 1 in the main part, 2 elsewhere, FRAME in the frame."""
     if any(label.endswith("!") for label in path):
         return FRAME
@@ -340,27 +393,26 @@ def _tier(path: tuple[str, ...], constant: bool) -> int:
             return FRAME
     if "article" in path:
         return 0
-    if any(label.endswith("*") for label in path):
-        return 1
-    return FRAME if constant else 2
+    return 1 if any(label.endswith("*") for label in path) else 2
 
 
 @lru_cache(maxsize=256)
-def slots_of(wrapper: str) -> dict[tuple[str, ...], int]:
-    """The tier of every slot of a wrapper, by the labels of the elements around it.
+def slots_of(wrapper: str) -> dict[tuple[str, ...], tuple[int, frozenset[str]]]:
+    """The tier of every slot of a wrapper, by the labels of the elements around it, and its fixed texts.
 
-    A text outside the article that all pages share belongs to the frame, if there are
-    :data:`SEEN` different pages.
+    Texts outside the article and the main part that all pages share belong to the frame, if there
+    are :data:`SEEN` different pages.
     """
     parts, seen = json.loads(wrapper)
-    slots: dict[tuple[str, ...], int] = {}
+    slots: dict[tuple[str, ...], tuple[int, frozenset[str]]] = {}
 
     def walk(parts: list[Part], path: tuple[str, ...]) -> None:
-        for label, _, text, inner in parts:
+        for label, _, texts, inner in parts:
             if label == "()":
                 walk(inner, path)
             elif label == "#":
-                slots[path] = _tier(path, bool(text) and len(seen) >= SEEN)
+                tier = _tier(path)
+                slots[path] = tier, frozenset(texts if tier == 2 and len(seen) >= SEEN else ())
             else:
                 walk(inner, (*path, label))
 
@@ -374,11 +426,10 @@ def article_of(page: str | None, wrapper: str) -> str:
     blocks: dict[int, dict[int, list[str]]] = {}
     for piece in pieces_of(page):
         path = tuple(label for label, _ in piece.path)
-        tier = slots.get(path)
-        if tier is None:  # white space only
-            tier = _tier(path, False)
-        if tier != FRAME:
-            blocks.setdefault(tier, {}).setdefault(piece.block, []).append(piece.text)
+        tier, fixed = slots.get(path) or (_tier(path), ())  # a place of white space only has no slot
+        if tier == FRAME or fixed and _digest(" ".join(piece.text.split())) in fixed:
+            continue
+        blocks.setdefault(tier, {}).setdefault(piece.block, []).append(piece.text)
     for tier in sorted(blocks):
         texts = [" ".join("".join(own).split()) for own in blocks[tier].values()]
         if any(texts):
