@@ -15,15 +15,21 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
+from tokenizers import Tokenizer
 
 from reposift.llm.common import CHUNK_CHARS, ready
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
-# Words and pieces of text whose encodings a worker keeps; beyond it starts anew.
+# Words and pieces of text whose encodings a worker keeps; beyond, those that it met first.
 KEPT = 700_000
+KEPT_FIRST = 200_000
 KEPT_PAIRS = 500_000
 
+# Characters that lower-casing, composition and letter classes treat as the library does, each of
+# them tested; texts with others are left to the library.
+_PLAIN = re.compile("[\x00-\u0130\u0132-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u2190-\u21ff]*")
+
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _WHITE = regex.compile(r"\p{White_Space}+")
 _NEVER = 1 << 60
@@ -45,6 +51,7 @@ class WordBpe:
     """
 
     def __init__(self, vocabulary: str = VOCABULARY):
+        self.vocabulary, self._library = vocabulary, None
         with open(vocabulary, encoding="utf-8") as file:
             model = json.load(file)
         bpe = model["model"]
@@ -68,6 +75,14 @@ class WordBpe:
         self.pairs: dict[int, bool] = {}
         self._clear()
 
+    def library(self) -> Tokenizer:
+        """The library's encoder, loaded when a text needs it."""
+        if self._library is None:
+            self._library = Tokenizer.from_file(self.vocabulary)
+            self._library.no_truncation()
+            self._library.no_padding()
+        return self._library
+
     def _merge_tables(self, merges: list) -> None:
         self.rank: dict[tuple[int, int], int] = {}
         formed: dict[int, tuple[int, int, int]] = {}
@@ -88,6 +103,12 @@ class WordBpe:
                     until, at = formed[at][0], formed[at][side]
                 edges[token] = chain
 
+    def _forget(self) -> None:
+        """Keep the pieces and words that were met first, which are the frequent ones."""
+        self.pieces = {piece: n for piece, n in self.pieces.items() if n < KEPT_FIRST}
+        self.words = {word: n for word, n in self.words.items() if n < KEPT_FIRST}
+        del self.ids[self.starts[KEPT_FIRST] :], self.starts[KEPT_FIRST + 1 :]
+
     def _clear(self) -> None:
         self.pieces: dict[str, int] = {}
         self.words: dict[str, int] = {}
@@ -106,54 +127,27 @@ class WordBpe:
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Ids of distinct words, given in byte letters."""
-        trie: dict = {}
-        for word in words:
-            node = trie
-            for letter in word:
-                if letter in node:
-                    node = node[letter]
-                else:
-                    node[letter] = node = {}
-            node[""] = word
         if len(self.pairs) > KEPT_PAIRS:
             self.pairs.clear()
         found: dict[str, list[int]] = {}
         vocab, ends, begins, pairs = self.vocab, self.ends, self.begins, self.pairs
-        # By number of letters: the last token of the prefix, and where it starts.
-        path, last, starts = "", [-1], [0]
-        # Nodes with the starts from which the letters before them can still become a token.
-        stack: list[tuple[dict, int, str, list[int]]] = [(trie, 0, "", [])]
-        while stack:
-            node, depth, letter, alive = stack.pop()
-            if depth:
-                before = depth - 1
-                path = path[:before] + letter
-                alive = [*alive, before]
-                word = node.get("")
-                if word is not None:
-                    # The last letter of a word differs from the same letter within one.
-                    for at in alive:
-                        token = ends.get(path[at:depth])
-                        if token is not None:
-                            if not at:
-                                break
-                            pair = last[at] << 20 | token
-                            if pair not in pairs:
-                                pairs[pair] = self._stays(last[at], token)
-                            if pairs[pair]:
-                                break
-                    ids = [token]
-                    while at:
-                        ids.append(last[at])
-                        at = starts[at]
-                    ids.reverse()
-                    found[word] = ids
-                    if len(node) == 1:
-                        continue
-                del last[depth:], starts[depth:]
+        # The branch of the trie that the word before stands on. By number of letters: the last
+        # token of the prefix, where it starts, and the starts from which it can still grow.
+        last, starts, alive_at = [-1], [0], [()]
+        before = ""
+        # In order, the words are the leaves of the trie as a depth-first walk meets them.
+        for word in sorted(words):
+            size = len(word)
+            depth, shared = 0, min(len(last), size) - 1
+            while depth < shared and before[depth] == word[depth]:
+                depth += 1
+            del last[depth + 1 :], starts[depth + 1 :], alive_at[depth + 1 :]
+            alive = alive_at[depth]
+            while depth < size - 1:
                 ahead, token = [], None
-                for at in alive:
-                    part = path[at:depth]
+                depth += 1
+                for at in (*alive, depth - 1):
+                    part = word[at:depth]
                     if part not in begins:
                         continue
                     ahead.append(at)
@@ -161,17 +155,35 @@ class WordBpe:
                         token = vocab.get(part)
                         if token is not None and at:
                             pair = last[at] << 20 | token
-                            if pair not in pairs:
-                                pairs[pair] = self._stays(last[at], token)
-                            if not pairs[pair]:
+                            stays = pairs.get(pair)
+                            if stays is None:
+                                stays = pairs[pair] = self._stays(last[at], token)
+                            if not stays:
                                 token = None
                         if token is not None:
                             last.append(token)
                             starts.append(at)
                 alive = ahead
-            for letter, child in node.items():
-                if letter:
-                    stack.append((child, depth + 1, letter, alive))
+                alive_at.append(ahead)
+            # The last letter of a word differs from the same letter within one.
+            for at in (*alive, size - 1):
+                token = ends.get(word[at:])
+                if token is not None:
+                    if not at:
+                        break
+                    pair = last[at] << 20 | token
+                    stays = pairs.get(pair)
+                    if stays is None:
+                        stays = pairs[pair] = self._stays(last[at], token)
+                    if stays:
+                        break
+            ids = [token]
+            while at:
+                ids.append(last[at])
+                at = starts[at]
+            ids.reverse()
+            found[word] = ids
+            before = word
         return found
 
     def _words_of(self, piece: str) -> list[str]:
@@ -221,9 +233,9 @@ class WordBpe:
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text as int32. Null is encoded as the empty text."""
         if len(self.pieces) + len(self.words) > KEPT:
-            self._clear()
+            self._forget()
         flat: list[str] = []
-        parts: list[list[tuple[int, int] | int]] = []  # ranges of the flat list, or special ids
+        parts: list[list[tuple[int, int] | list[int]]] = []  # ranges of the flat list, or ids
         for text in texts:
             text = text or ""
             split = [text]
@@ -232,7 +244,9 @@ class WordBpe:
             parts.append([])
             for part in split:
                 if len(split) > 1 and part in self.special:
-                    parts[-1].append(self.special[part])
+                    parts[-1].append([self.special[part]])
+                elif not part.isascii() and not _PLAIN.fullmatch(part):
+                    parts[-1].append(self.library().encode(part, add_special_tokens=False).ids)
                 else:
                     before = len(flat)
                     flat += self._pieces_of(part)
@@ -250,8 +264,8 @@ class WordBpe:
         all_ids = ids[np.repeat(starts[at] - ends[:-1], sizes) + np.arange(int(ends[-1]))]
         for text in parts:
             out = [
-                np.array([part], dtype=np.int32)
-                if isinstance(part, int)
+                np.array(part, dtype=np.int32)
+                if isinstance(part, list)
                 else all_ids[ends[part[0]] : ends[part[1]]]
                 for part in text
             ]
