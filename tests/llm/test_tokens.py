@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from reposift.llm import word_bpe
 from reposift.llm.byte_bpe import VOCABULARY as BYTE_VOCABULARY
 from reposift.llm.byte_bpe import ByteBpe
 from reposift.llm.packing import Packer, pack
@@ -101,3 +102,27 @@ def test_packing_is_whole_and_gapless(spark, docs):
         sums.append(one["length"].sum())
     assert max(sums) <= 1024 and sum(sums) > 0.97 * 1024 * (len(sums) - 1)
     assert pack(table(spark, [])).collect() == []
+
+
+def test_word_ids_of_every_character():
+    """Each character that is not left to the library, and random ones of all of Unicode."""
+    expected, ours = library(WORD_VOCABULARY), WordBpe()
+    rng = random.Random(3)
+    plain = [chr(c) for c in range(0x2200) if word_bpe._PLAIN.fullmatch(chr(c))]
+    texts = [f"a{c}b {c} {c}{c}1{c} .{c} A{c}Z" for c in plain]
+    texts += ["".join(rng.choice(plain) for _ in range(40)) for _ in range(500)]
+    spans = [(0x20, 0x250), (0x250, 0xD7FF), (0xE000, 0x1FFFF), (0x300, 0x370)]
+    texts += ["".join(chr(rng.randrange(*rng.choice(spans))) for _ in range(30)) for _ in range(1_500)]
+    for text, ids in zip(texts, ours.encode(texts)):
+        assert ids.tolist() == expected.encode(text, add_special_tokens=False).ids
+
+
+def test_words_forgotten_and_met_again(monkeypatch):
+    monkeypatch.setattr(word_bpe, "KEPT", 300)
+    monkeypatch.setattr(word_bpe, "KEPT_FIRST", 40)
+    expected, ours = library(WORD_VOCABULARY), WordBpe()
+    texts = [t or "" for _, t in corpus()] + random_texts(400)
+    for _ in range(2):
+        for at in range(0, len(texts), 20):
+            for text, ids in zip(texts[at : at + 20], ours.encode(texts[at : at + 20])):
+                assert ids.tolist() == expected.encode(text, add_special_tokens=False).ids
