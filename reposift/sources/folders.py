@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,23 @@ def write_version(df: DataFrame, parent: str, name: str, number: int, replace: b
     return path
 
 
+def write_version_in_parts(parts: Iterable[DataFrame], parent: str, name: str, number: int) -> str:
+    """Write several tables as one version, which is complete when the last one is."""
+    path, first = f"{parent}/{name}={number}", True
+    for df in parts:
+        if first:
+            delete(df.sparkSession, path)
+        (
+            df.write.mode("append")
+            .option("compression", "zstd")
+            .option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+            .parquet(path)
+        )
+        spark, first = df.sparkSession, False
+    _file_system(spark, path).create(_hadoop_path(spark, f"{path}/_SUCCESS")).close()
+    return path
+
+
 def names(spark: SparkSession, path: str) -> list[str]:
     """Names of what lies in a folder, in order; none if there is no such folder."""
     if not exists(spark, path):

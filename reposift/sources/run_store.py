@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from reposift.operators.contents import dedup, dedup_latest
 from reposift.schemas import SPLITS, split_named
-from reposift.session import run_token
-from reposift.sources.folders import complete_versions, delete, write_version
+from reposift.session import passing_tables, run_token, written_table
+from reposift.sources.folders import (
+    complete_versions,
+    delete,
+    write_version,
+    write_version_in_parts,
+)
+
+# Fixed value: rows of a bitmap of Spark's bitmap functions.
+CHUNK = 32_768
+
+# Bitmaps that are sent to every executor at once, 4 KB each.
+SENT_BITMAPS = 16_384
 
 
 def _split_folder(store: str, split: str) -> str:
@@ -104,6 +116,11 @@ def consolidate(
 ) -> int:
     """Merge all runs of the given splits in one run without duplicates; returns its token.
 
+    Which of several rows of a key stays is decided by keys and addresses alone; then every file is
+    read once and the rows that stay are written from where they lie. Nothing but keys is
+    shuffled, however wide the rows are. It is a row of the latest run with ``latest``, else of the
+    first; of several in one run it is the last, or the first, by file and place.
+
     The runs are listed before they are read, so a run that is added meanwhile stays. The old
     ones go only after the new one is complete; a crash in between leaves duplicates, which
     every reader removes.
@@ -116,8 +133,47 @@ def consolidate(
         if not old:
             continue
         rows = read_runs(spark, store, split, old, all_columns=True)
-        records = _one_per_key(rows, split, latest)
-        write_version(records, _split_folder(store, split), "run", run)
+        with passing_tables(spark):
+            kept = written_table(kept_rows(rows, split_named(split).key, latest), "kept")
+            parts = -(-kept.count() // SENT_BITMAPS)
+            folder = _split_folder(store, split)
+            if parts <= 1:
+                write_version(rows_kept(rows, kept).drop("run"), folder, "run", run)
+            else:
+                pieces = (rows_kept(rows, kept, part, parts).drop("run") for part in range(parts))
+                write_version_in_parts(pieces, folder, "run", run)
         for token in old:
-            delete(spark, f"{_split_folder(store, split)}/run={token}")
+            delete(spark, f"{folder}/run={token}")
     return run
+
+
+def kept_rows(rows: DataFrame, key: Sequence[str], latest: bool) -> DataFrame:
+    """Addresses of one row per key of stored rows, as bitmaps: ``file``, ``chunk``, ``bits``.
+
+    Only the keys are read, and aggregated before they are shuffled; :data:`CHUNK` rows take 4 KB.
+    """
+    at = F.struct("run", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    bit = F.bitmap_bit_position(F.col("at.row") % CHUNK + 1)
+    return (
+        rows.select(*key, at.alias("at"))
+        .groupBy(*key)
+        .agg((F.max if latest else F.min)("at").alias("at"))
+        .groupBy(F.col("at.file").alias("file"), F.floor(F.col("at.row") / CHUNK).alias("chunk"))
+        .agg(F.bitmap_construct_agg(bit).alias("bits"))
+    )
+
+
+def rows_kept(rows: DataFrame, kept: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
+    """The stored rows whose address is in ``kept``, or one of several parts of them, by file.
+
+    The bitmaps of a part are sent to the tasks that read its files: :data:`SENT_BITMAPS` or so, 64 MB.
+    """
+    file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    if parts > 1:
+        rows = rows.filter(F.pmod(F.xxhash64(file), F.lit(parts)) == part)
+        kept = kept.filter(F.pmod(F.xxhash64("file"), F.lit(parts)) == part)
+    byte = F.expr("conv(hex(substring(bits, cast(_row % 32768 div 8 as int) + 1, 1)), 16, 10)").cast("int")
+    is_kept = F.call_function("shiftright", byte, F.expr("cast(_row % 8 as int)")).bitwiseAND(F.lit(1)) == 1
+    placed = rows.select("*", file.alias("_file"), row.alias("_row"))
+    same = (F.col("_file") == F.col("file")) & (F.floor(F.col("_row") / CHUNK) == F.col("chunk"))
+    return placed.join(F.broadcast(kept), same).filter(is_kept).select(*rows.columns)

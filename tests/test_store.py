@@ -1,8 +1,11 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from reposift.operators import contents as objects
 from reposift.schemas import CONTENT, SPLITS
+from reposift.session import written_table
 from reposift.sources import error_log, files, run_store
 from tests.conftest import rows
 
@@ -75,6 +78,39 @@ def test_consolidate(spark, store, latest):
         run_store.consolidate(spark, store, run=4)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("latest", [False, True])
+def test_consolidation_shuffles_no_contents(spark, store, latest):
+    for run in (1, 2):
+        run_store.store_records(content(spark, *[(str(i), "x" * i) for i in range(run * 40)]), store, "CONTENTS", run)
+    stored = run_store.read_runs(spark, store, "CONTENTS", all_columns=True)
+    found = run_store.kept_rows(stored, ["hash_code"], latest)
+    assert "contents" not in plan_of(found)
+    kept = written_table(found, "kept")
+    rows_kept = run_store.rows_kept(stored, kept)
+    plan = plan_of(rows_kept)
+    assert "BroadcastHashJoin" in plan and not re.search(r"Exchange (hash|range|Single|Round)", plan)
+    assert rows(rows_kept, "hash_code", "run") == sorted((str(i), 2 if latest or i >= 40 else 1) for i in range(80))
+
+
+def test_consolidation_in_parts(spark, store, monkeypatch):
+    """More bitmaps than may be sent at once: file by file, and each file is read for its part only."""
+    many = [(f"{i:05}", f"text {i}") for i in range(70_000)]
+    run_store.store_records(spark.createDataFrame(many, CONTENT).repartition(3), store, "CONTENTS", 1)
+    run_store.store_records(content(spark, *many[::7]).repartition(2), store, "CONTENTS", 2)
+    monkeypatch.setattr(run_store, "SENT_BITMAPS", 2)
+    stored = run_store.read_runs(spark, store, "CONTENTS")
+    kept = written_table(run_store.kept_rows(stored, ["hash_code"], False), "kept")
+    parts = [run_store.rows_kept(stored, kept, part, 3) for part in range(3)]
+    assert sum(part.count() for part in parts) == 70_000
+    run_store.consolidate(spark, store, ["CONTENTS"], run=3)
+    assert run_store.list_runs(spark, store, "CONTENTS") == [3]
+    assert rows(run_store.read_runs(spark, store, "CONTENTS").drop("run")) == many
+
+
 def test_consolidate_keeps_all_stored_columns(spark, store):
     record = spark.createDataFrame([("o", "r", "t", "a", "c", 5, "m")], SPLITS["COMMIT_MESSAGES"].stored)
     run_store.store_records(record, store, "COMMIT_MESSAGES", 1)
