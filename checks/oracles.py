@@ -405,6 +405,9 @@ from messages""",
     "consolidate": f"""with {BLOBS}, {PAGES}
 select *, cast(3 as bigint) as run from (
   select hash_code, contents from blobs union select hash_code, contents from page_blobs)""",
+    "consolidate_after_a_small_run": f"""with {BLOBS}, {PAGES}
+select hash_code, contents from blobs
+union select hash_code, contents from page_blobs where contents like '%/de/%'""",
     "consolidate_latest": f"""with {MESSAGES}
 select * exclude (long_message),
   long_message || case when commit_id in ({FINISHED}) then ', amended' else '' end

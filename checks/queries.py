@@ -571,6 +571,20 @@ def consolidate(spark, sf_dir):
     return run_store.read_runs(spark, store, "CONTENTS")
 
 
+@query
+def consolidate_after_a_small_run(spark, sf_dir):
+    """A consolidated store gets the labelled documents again and some pages; the large run stays."""
+    store = new_folder(spark, "store")
+    documents = samples.blobs(spark, sf_dir).drop("doc_id")
+    run_store.store_records(documents, store, "CONTENTS", 1)
+    run_store.consolidate(spark, store, ["CONTENTS"], run=2)
+    labelled = documents.join(samples.labelled_hashes(spark, sf_dir), "hash_code", "left_semi")
+    pages = samples.page_blobs(spark, sf_dir).filter("contents like '%/de/%'")
+    run_store.store_records(labelled.unionByName(pages), store, "CONTENTS", 3)
+    run_store.consolidate(spark, store, ["CONTENTS"], run=4, tier=1.0)
+    return run_store.read_runs(spark, store, "CONTENTS").drop("run")
+
+
 @query
 def consolidate_latest(spark, sf_dir):
     store = _messages_store(spark, sf_dir)

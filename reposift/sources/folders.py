@@ -74,6 +74,11 @@ def write_version_in_parts(parts: Iterable[DataFrame], parent: str, name: str, n
     return path
 
 
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a path."""
+    return _file_system(spark, path).getContentSummary(_hadoop_path(spark, path)).getLength()
+
+
 def names(spark: SparkSession, path: str) -> list[str]:
     """Names of what lies in a folder, in order; none if there is no such folder."""
     if not exists(spark, path):

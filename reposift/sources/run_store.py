@@ -14,6 +14,7 @@ from reposift.session import passing_tables, run_token, written_table
 from reposift.sources.folders import (
     complete_versions,
     delete,
+    size_of,
     write_version,
     write_version_in_parts,
 )
@@ -113,6 +114,7 @@ def consolidate(
     splits: Iterable[str] = tuple(SPLITS),
     run: int | None = None,
     latest: bool = False,
+    tier: float | None = None,
 ) -> int:
     """Merge all runs of the given splits in one run without duplicates; returns its token.
 
@@ -121,6 +123,11 @@ def consolidate(
     shuffled, however wide the rows are. It is a row of the latest run with ``latest``, else of the
     first; of several in one run it is the last, or the first, by file and place.
 
+    With ``tier``, a run that takes at least so many times the bytes of all others together stays
+    where it is, if it has no duplicates: the others are merged in one run without the keys that
+    it has, so a small run costs no more than its own rows and the keys of the store. As runs
+    come, the second tier grows until all are merged.
+
     The runs are listed before they are read, so a run that is added meanwhile stays. The old
     ones go only after the new one is complete; a crash in between leaves duplicates, which
     every reader removes.
@@ -133,13 +140,20 @@ def consolidate(
         if not old:
             continue
         rows = read_runs(spark, store, split, old, all_columns=True)
+        folder = _split_folder(store, split)
+        large = None if tier is None or latest else _large_run(spark, folder, old, tier)
         with passing_tables(spark):
-            kept = written_table(kept_rows(rows, split_named(split).key, latest), "kept")
+            kept = written_table(kept_rows(rows, split_named(split).key, latest, large), "kept")
+            if large is not None:
+                own = F.col("file").contains(f"/run={large}/")
+                unique = kept.filter(own).agg(F.sum(F.bitmap_count("bits"))).first()[0]
+                if unique == rows.filter(F.col("run") == large).count():
+                    old.remove(large)
+                    rows, kept = rows.filter(F.col("run") != large), kept.filter(~own)
             parts = -(-kept.count() // SENT_BITMAPS)
-            folder = _split_folder(store, split)
-            if parts <= 1:
+            if parts == 1:
                 write_version(rows_kept(rows, kept).drop("run"), folder, "run", run)
-            else:
+            elif parts:
                 pieces = (rows_kept(rows, kept, part, parts).drop("run") for part in range(parts))
                 write_version_in_parts(pieces, folder, "run", run)
         for token in old:
@@ -147,12 +161,27 @@ def consolidate(
     return run
 
 
-def kept_rows(rows: DataFrame, key: Sequence[str], latest: bool) -> DataFrame:
+def _large_run(spark: SparkSession, folder: str, runs: list[int], tier: float) -> int | None:
+    """The run that takes ``tier`` times the bytes of the others, if there is one."""
+    sizes = {run: size_of(spark, f"{folder}/run={run}") for run in runs}
+    largest = max(runs, key=sizes.get)
+    rest = sum(sizes.values()) - sizes[largest]
+    return largest if len(runs) > 1 and sizes[largest] >= tier * rest else None
+
+
+def kept_rows(
+    rows: DataFrame, key: Sequence[str], latest: bool, first: int | None = None
+) -> DataFrame:
     """Addresses of one row per key of stored rows, as bitmaps: ``file``, ``chunk``, ``bits``.
 
-    Only the keys are read, and aggregated before they are shuffled; :data:`CHUNK` rows take 4 KB.
+    It is a row of the latest run, else one of the run ``first``, else one of the earliest run. Only the keys are read, and aggregated before they are shuffled; :data:`CHUNK` rows take 4 KB.
     """
-    at = F.struct("run", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    at = F.struct(
+        (F.lit(first) != F.col("run")).alias("other") if first is not None else F.lit(False).alias("other"),
+        "run",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.row_index").alias("row"),
+    )
     bit = F.bitmap_bit_position(F.col("at.row") % CHUNK + 1)
     return (
         rows.select(*key, at.alias("at"))

@@ -1,4 +1,6 @@
+import hashlib
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +113,37 @@ def test_consolidation_in_parts(spark, store, monkeypatch):
     assert rows(run_store.read_runs(spark, store, "CONTENTS").drop("run")) == many
 
 
+def test_a_large_run_stays(spark, store):
+    def text(i):
+        return " ".join(hashlib.md5(f"{i} {k}".encode()).hexdigest() for k in range(6))
+
+    many = [(f"{i:05}", text(i)) for i in range(3_000)]
+    run_store.store_records(content(spark, *many), store, "CONTENTS", 5)
+    run_store.store_records(content(spark, *many[:5], ("new", "n"), ("new", "n")), store, "CONTENTS", 2)
+    run_store.store_records(content(spark, ("new", "n"), ("more", "m")), store, "CONTENTS", 7)
+    before = (Path(store) / "data/split=CONTENTS/run=5").stat().st_mtime
+    run_store.consolidate(spark, store, ["CONTENTS"], run=8, tier=4.0)
+    assert run_store.list_runs(spark, store, "CONTENTS") == [5, 8]
+    assert (Path(store) / "data/split=CONTENTS/run=5").stat().st_mtime == before
+    assert rows(run_store.read_runs(spark, store, "CONTENTS", [8]).drop("run")) == [("more", "m"), ("new", "n")]
+    assert run_store.read_runs(spark, store, "CONTENTS").count() == 3_002
+    run_store.store_records(content(spark, *many[:3]), store, "CONTENTS", 9)
+    run_store.consolidate(spark, store, ["CONTENTS"], run=10, tier=4.0)
+    assert run_store.read_runs(spark, store, "CONTENTS").count() == 3_002
+    run_store.store_records(content(spark, *[(f"z{i}", text(-i)) for i in range(3_000)]), store, "CONTENTS", 11)
+    run_store.consolidate(spark, store, ["CONTENTS"], run=12, tier=4.0)
+    assert run_store.list_runs(spark, store, "CONTENTS") == [12]
+    assert run_store.read_runs(spark, store, "CONTENTS").count() == 6_002
+
+
+def test_a_large_run_with_duplicates_is_merged(spark, store):
+    run_store.store_records(content(spark, *[("a", "x" * 500)] * 500), store, "CONTENTS", 1)
+    run_store.store_records(content(spark, ("b", "y")), store, "CONTENTS", 2)
+    run_store.consolidate(spark, store, ["CONTENTS"], run=3, tier=0.1)
+    assert run_store.list_runs(spark, store, "CONTENTS") == [3]
+    assert run_store.read_runs(spark, store, "CONTENTS").count() == 2
+
+
 def test_consolidate_keeps_all_stored_columns(spark, store):
     record = spark.createDataFrame([("o", "r", "t", "a", "c", 5, "m")], SPLITS["COMMIT_MESSAGES"].stored)
     run_store.store_records(record, store, "COMMIT_MESSAGES", 1)
