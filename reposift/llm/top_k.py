@@ -46,8 +46,14 @@ class KdTree:
         """Highest inner product that a point of each node's box can have, per query."""
         return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
 
-    def search(self, query_id: int, query: np.ndarray, bounds: np.ndarray, k: int, kth) -> list[tuple]:
-        """The best (score, -id) of the tree that reach ``kth``, from other rows than the query's."""
+    def own(self, query_id: int, query: np.ndarray) -> int:
+        """A row with the id and the vector of the query, -1 if there is none."""
+        start, end = np.searchsorted(self.ids, [query_id, query_id + 1])
+        equal = np.flatnonzero((self.vectors[start:end] == query).all(axis=1))
+        return start + equal[0] if len(equal) else -1
+
+    def search(self, own: int, query: np.ndarray, bounds: np.ndarray, k: int, kth) -> list[tuple]:
+        """The best (score, -id) of the tree that reach ``kth``, from other rows than ``own``."""
         best: list[tuple] = []
         nodes = [(-bounds[0], 0)]
         while nodes:
@@ -68,7 +74,7 @@ class KdTree:
                 near = scores >= np.partition(scores, len(rows) - k - 1)[len(rows) - k - 1]
                 rows, scores = rows[near], scores[near]
             for row, score in zip(rows, scores):
-                if self.ids[row] != query_id:
+                if row != own:
                     entry = (int(score), -int(self.ids[row]))
                     if len(best) < k:
                         heapq.heappush(best, entry)
@@ -98,11 +104,11 @@ def _answers(k: int):
             vectors, asked = _exact(_matrix(points["x"]), _matrix(queries["x"]))
             tree = KdTree(points["vec_id"].to_numpy(), vectors)
             bounds = tree.bounds(asked)
-            for i, (query_id, kth) in enumerate(zip(queries["query_id"], queries["kth"])):
-                kth = None if pd.isna(kth) else int(kth)
-                for score, vec_id in tree.search(query_id, asked[i], bounds[i], k, kth):
-                    found.append((query_id, -vec_id, score))
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
+            for i, (query, query_id, kth) in enumerate(zip(queries["query"], queries["query_id"], queries["kth"])):
+                kth, own = None if pd.isna(kth) else int(kth), tree.own(query_id, asked[i])
+                for score, vec_id in tree.search(own, asked[i], bounds[i], k, kth):
+                    found.append((query, query_id, -vec_id, score))
+        return pd.DataFrame(found, columns=["query", "query_id", "vec_id", "score"]).astype("int64")
 
     return run
 
@@ -111,12 +117,12 @@ def _search(points: DataFrame, queries: DataFrame, keys: list[str], k: int) -> D
     return (
         points.groupBy(*keys)
         .cogroup(queries.groupBy(*keys))
-        .applyInPandas(_answers(k), "query_id long, vec_id long, score long")
+        .applyInPandas(_answers(k), "query long, query_id long, vec_id long, score long")
     )
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
@@ -134,9 +140,9 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame
     """``query_id, rank, vec_id, score``: the ``k`` highest inner products for each query.
 
     Both tables are ``vec_id, x`` as :func:`integer_vectors` gives them. Candidates are all
-    vectors of the query's length but those with its id; ties go to the smaller id, fewer
-    candidates give fewer rows. Of queries that repeat an id, the smallest vector counts;
-    vectors that repeat an id are candidates each.
+    vectors of the query's length but the query's own row, which is one with its id and vector;
+    ties go to the smaller id, fewer candidates give fewer rows. Rows that repeat an id, or id and
+    vector, are a query and a candidate each.
 
     Vectors are dealt to shards of about :data:`SHARD`, queries to blocks. Each query first
     searches one shard, best boxes first; its k-th score then goes with it to all other shards,
@@ -155,30 +161,30 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame
         ),
         "points",
     )
-    asked = queries.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("x").alias("x"))
+    asked = queries.select(F.monotonically_increasing_id().alias("query"), F.col("vec_id").alias("query_id"), "x")
     blocks = max(1, -(-queries.count() // BLOCK))
     asked = cut(
         asked.withColumns(
             {
                 "length": size,
-                "block": F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"),
-                "home": F.pmod(F.hash("query_id"), F.lit(shards)).cast("int"),
+                "block": F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"),
+                "home": F.pmod(F.hash("query"), F.lit(shards)).cast("int"),
             }
         ),
         "queries",
     )
     keys = ["shard", "block", "length"]
     dealt = points.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    first = asked.select("query_id", "x", "length", "block", F.col("home").alias("shard"), F.lit(None).cast("long").alias("kth"))
+    first = asked.select("query", "query_id", "x", "length", "block", F.col("home").alias("shard"), F.lit(None).cast("long").alias("kth"))
     found = cut(_search(dealt, first, keys, k), "home")
-    kth = found.groupBy("query_id").agg(
+    kth = found.groupBy("query").agg(
         F.when(F.count(F.lit(1)) == k, F.min("score")).alias("kth")
     )
     others = (
-        asked.join(kth, "query_id", "left")
+        asked.join(kth, "query", "left")
         .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
         .filter("shard <> home")
-        .select("query_id", "x", "length", "block", "shard", "kth")
+        .select("query", "query_id", "x", "length", "block", "shard", "kth")
     )
     found = found.unionByName(_search(dealt, others, keys, k)) if shards > 1 else found
     return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -132,3 +132,16 @@ def test_shards(spark):
     assert kd_shards(docs, target_bytes=20_000).select("shard").distinct().count() > 8
     assert kd_shards(docs.drop("source", "lang"), shards=1).select("shard").distinct().count() == 1
     assert kd_shards(docs.filter("false"), shards=8).collect() == []
+
+
+def test_rows_that_repeat_an_id_are_candidates_of_each_other(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), (1, [1.0, 1.0]), (7, [0.5, 0.5, 1.0])]
+    points = spark.createDataFrame(rows, "vec_id long, x array<double>")
+    got = sorted(tuple(r) for r in exact_top_k(points, points.filter("vec_id = 50")).collect())
+    want = []
+    asked = [(i, q) for i, q in enumerate(rows) if q[0] == 50]
+    for i, (query_id, q) in asked:
+        others = [x for j, x in enumerate(rows) if j != i and len(x[1]) == len(q)]
+        scored = sorted((-sum(a * b for a, b in zip(q, x)), vec_id) for vec_id, x in others)
+        want += [(query_id, rank, vec_id, -score) for rank, (score, vec_id) in enumerate(scored, 1)]
+    assert got == sorted(want) and len(got) == 9
