@@ -35,12 +35,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+# Rows for which a small table of narrow rows gets one more file.
+FILE_ROWS = 20_000
+
+
+def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder, well compressed, and read it back.
 
     The lineage ends there, so lost executors cost a retry of one stage only, and what a task
-    decided once is never decided again.
+    decided once is never decided again. Opening a file costs more than writing a thousand ids,
+    so a table of about ``rows`` narrow rows is written in as many files as these fill, but by
+    twice as many tasks as run at once at least; with fewer shuffle partitions nothing changes.
     """
+    if rows is not None:
+        df = df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

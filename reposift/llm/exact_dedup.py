@@ -203,7 +203,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The documents that stay, with all their columns."""
     row = unused(docs, "row")
     decided = exact_duplicates(docs, id_col, text_col).select("kept", "ties", F.col("row").alias(row))
-    decided = cut(decided.filter("not kept or ties > 1").distinct(), "decided")
+    decided = cut(decided.filter("not kept or ties > 1").distinct(), "decided", docs.count())
     gone, again = decided.select(row), decided.filter("kept").select(row)
     known = docs.withColumn(row, _row(id_col, text_col))
     once = known.join(sent(gone), row, "left_anti")

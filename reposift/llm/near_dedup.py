@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reposift.llm.common import as_signed, chunks, cut, mixed, only, ready, sent, unused, window_hashes, words_of_texts
-from reposift.llm.components import components
+from reposift.llm.components import components, joined
 
 WIDTH = 5
 KEPT = 64  # values of a sketch
@@ -104,7 +104,7 @@ def _similar(common, n_a="n_a", n_b="n_b"):
     return DENOMINATOR * common >= NUMERATOR * (F.col(n_a) + F.col(n_b) - common)
 
 
-def _links(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, rows: int) -> DataFrame:
     """The ``pairs`` (a, b) that link: estimated on the sketches, then exact on whole sets."""
     likely = (
         _sides(pairs, sketches, "n", "sketch")
@@ -113,7 +113,8 @@ def _links(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
         .select("a", "b")
     )
     common = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    return cut(_sides(likely, sets, "n", "shingles").filter(_similar(common)).select("a", "b"), "links")
+    linked = _sides(likely, sets, "n", "shingles").filter(_similar(common))
+    return cut(linked.select("a", "b"), "links", rows)
 
 
 def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -185,12 +186,59 @@ def _repeated(sets: DataFrame) -> bool:
     return not sets.groupBy("node").count().filter("count > 1").isEmpty()
 
 
-def near_links(members: DataFrame, sketches: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links that give the same components as all links do, and these components."""
+def _within_reach(rows: DataFrame) -> DataFrame:
+    """``rows`` (shingle, node, n, heavy, first, component) that a partner in their list may link with.
+
+    With ``c`` values in common, sets of n and m values link when ``7 * c >= 3 * (n + m)``, and c
+    is at most the smaller ``heavy``. So a row stays if its own reaches the smallest set of its list,
+    and the largest of the list reaches it. Lists of one component go.
+    """
+    lists = rows.groupBy("shingle").agg(
+        F.min("n").alias("_least"),
+        F.max(7 * F.col("heavy") - 3 * F.col("n")).alias("_reach"),
+        F.min("component").alias("_low"),
+        F.max("component").alias("_high"),
+    )
+    lists = lists.filter("_low < _high").select("shingle", "_least", "_reach")
+    near = (7 * F.col("heavy") >= 3 * (F.col("n") + F.col("_least"))) & (F.col("_reach") >= 3 * F.col("n"))
+    return rows.join(lists, "shingle").filter(near).drop("_least", "_reach")
+
+
+def _outside(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows of one list in different components that may link, each pair once.
+
+    The rows of a list's largest component are compared with the rows outside of it only, so a
+    list that is one component but for a few rows makes so many times its length of pairs.
+    """
+    sizes = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("shingle").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("_parts")
+    )
+    rows = rows.join(main.filter("_parts > 1").drop("_parts"), "shingle")
+    left, right = (
+        rows.select("shingle", "main", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "heavy", "first", "component")))
+        for side in "ab"
+    )
+    pairs = left.filter("component_a <> main").join(right.drop("main"), "shingle").filter(
+        (F.col("component_a") != F.col("component_b"))
+        & ((F.col("component_b") == F.col("main")) | (F.col("node_a") < F.col("node_b")))
+        & _similar(F.least("heavy_a", "heavy_b"))
+        & (F.array_min(F.array_intersect("first_a", "first_b")) == F.col("shingle"))
+    )
+    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+
+
+def near_links(
+    members: DataFrame, sketches: DataFrame, sets: DataFrame, rows: int
+) -> tuple[DataFrame, DataFrame]:
+    """Links that give the same components as all links do, and these components.
+
+    ``rows`` is about how many nodes and links there are (see :func:`cut`).
+    """
     first = members.filter("node <> first").groupBy(F.col("first").alias("a"), F.col("node").alias("b"))
     first = first.agg(F.count(F.lit(1)).alias("runs")).filter(F.col("runs") >= RUNS).select("a", "b")
-    links = _links(first, sketches, sets)
-    labels = components(links)
+    links = _links(first, sketches, sets, rows)
+    labels = components(links, rows)
 
     known = cut(_labelled(members.select("key", "size", "node", "n"), labels), "labelled")
     lists = known.groupBy("key").agg(F.min("component").alias("_least"), F.max("component").alias("_most"))
@@ -220,18 +268,14 @@ def near_links(members: DataFrame, sketches: DataFrame, sets: DataFrame) -> tupl
     hubs = hubs.filter("_least < _most").select("shingle", "hub")
     around = frequent.join(hubs, "shingle").filter("node <> hub")
     around = around.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    more = short.unionByName(light).unionByName(around).distinct()
-    links = links.unionByName(_links(more, sketches, sets))
-    labels = components(links)
+    more = _links(short.unionByName(light).unionByName(around).distinct(), sketches, sets, rows)
+    labels = joined(labels, more, rows)
 
-    rest = _paired(
-        by_shingle("first", labels),
-        "shingle",
-        _similar(F.least("heavy_a", "heavy_b")),
-        F.array_min(F.array_intersect("first_a", "first_b")) == F.col("shingle"),
-    )
-    links = links.unionByName(_links(rest, sketches, sets))
-    return links, components(links)
+    rest = cut(_outside(_within_reach(by_shingle("first", labels))), "rest", rows)
+    if rest.isEmpty():
+        return links.unionByName(more), labels
+    last = _links(rest, sketches, sets, rows)
+    return links.unionByName(more).unionByName(last), joined(labels, last, rows)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,25 +305,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ).withColumn("node", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), node)),
         "sketches",
     )
+    count = rows.count()
     classes = cut(
-        rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "classes"
+        rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "classes", count
     )
     reps = rows.filter("n > 2").select("doc_id", "node", "n", "sketch").join(classes, ["node", "doc_id"])
     members = _members(reps.select("node", "n", F.explode(_keys()).alias("key")))
-    nodes = cut(members.select("node").distinct().join(classes, "node"), "nodes")
+    nodes = cut(members.select("node").distinct().join(classes, "node"), "nodes", count)
     sketches = cut(only(reps, nodes.select("node")), "near_sketches")
     found = (
-        only(texts, cut(nodes.select("doc_id").distinct(), "near_ids"))
+        only(texts, cut(nodes.select("doc_id").distinct(), "near_ids", count))
         .select("text")
         .mapInPandas(_sets, "n long, sum long, xor long, shingles array<long>")
         .select(node.alias("node"), "n", "shingles")
     )
     sets = cut(only(found, nodes.select("node")), "sets")
-    _, labels = near_links(members, sketches, sets)
+    _, labels = near_links(members, sketches, sets, count)
 
-    named = _labelled(classes.withColumnRenamed("doc_id", "_least"), labels)
-    least = named.groupBy("component").agg(F.min("_least").alias("component_id"))
-    named = named.select("node", "component").join(least, "component").select("node", "component_id")
+    linked = labels.select(F.col("id").alias("node"), "component").join(classes, "node")
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    linked = cut(linked.join(least, "component").select("node", "component_id"), "linked", count)
+    named = classes.join(linked, "node", "left").select(
+        "node", F.coalesce("component_id", "doc_id").alias("component_id")
+    )
     component = F.coalesce("component_id", "doc_id")
     return rows.select("doc_id", "n", "node").join(named, "node", "left").select(
         "doc_id",
@@ -293,5 +341,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The first document of each component and those without one, with all their columns."""
     decided = near_duplicates(docs, id_col, text_col)
     name = unused(docs, "gone")
-    gone = cut(decided.filter("not kept").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    gone = cut(decided.filter("not kept").select(F.col("doc_id").alias(name)).distinct(), "gone", docs.count())
     return docs.join(sent(gone), docs[id_col] == F.col(name), "left_anti")

@@ -246,7 +246,7 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     spans = gone.distinct().groupBy(F.col("row").alias(row)).agg(
         F.collect_list(F.struct("start_word", "end_word")).alias(cuts)
     )
-    spans = cut(spans, "cuts")
+    spans = cut(spans, "cuts", docs.count())
     ids = spans.select(row)
     known = docs.withColumn(row, F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("binary")))
     whole = known.join(sent(ids), row, "left_anti").select(*docs.columns)

@@ -4,7 +4,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from reposift.llm.components import components
+from reposift.llm import near_dedup
+from reposift.llm.components import components, joined
 from reposift.llm.exact_dedup import CuckooIndex, drop_exact_duplicates, exact_duplicates
 from reposift.llm.near_dedup import drop_near_duplicates, near_duplicates
 from reposift.llm.suffix_dedup import drop_repeated_passages, repeated_passages
@@ -181,3 +182,24 @@ def test_empty_tables(empty):
     assert exact_duplicates(empty).collect() == drop_exact_duplicates(empty).collect() == []
     assert near_duplicates(empty).collect() == drop_near_duplicates(empty).collect() == []
     assert repeated_passages(empty).collect() == drop_repeated_passages(empty).collect() == []
+
+
+def test_more_links_join_known_components(spark):
+    rng = random.Random(3)
+    for extra in ([], [(1, 2), (30, 31), (31, 2)], [(rng.randrange(60), rng.randrange(60)) for _ in range(40)]):
+        links = [(rng.randrange(60), rng.randrange(60)) for _ in range(25)]
+        frames = [spark.createDataFrame(x, "a long, b long") for x in (links, extra, links + extra)]
+        got = {tuple(r) for r in joined(components(frames[0]), frames[1]).collect()}
+        assert got == {tuple(r) for r in components(frames[2]).collect()}
+
+
+def test_common_passage_makes_no_pairs_of_texts_that_cannot_link(spark, monkeypatch):
+    passage = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, passage + "".join(f" o{i}_{j}" for j in range(8))) for i in range(300)]
+    rows += [(300 + i, passage + f" o{i}_0 o{i}_1") for i in range(3)]
+    left = []
+    outside = near_dedup._outside
+    monkeypatch.setattr(near_dedup, "_outside", lambda r: left.append(r.count()) or outside(r))
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(table(spark, rows)).collect()}
+    assert got == connected({i: shingles(t) for i, t in rows})
+    assert sum(left) <= len(rows)
