@@ -17,8 +17,8 @@ from tokenizers import Tokenizer
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
-# Encodings of words that a worker keeps; beyond it starts anew.
-KEPT_WORDS = 100_000
+# Encodings of words that a worker keeps: those that it met first. Others last for one call.
+KEPT_WORDS = 300_000
 
 # A space after white space belongs to a run, and is not where a word starts.
 _RUN = re.compile(r"\s ")
@@ -53,7 +53,9 @@ class ByteBpe:
         self.ranks = tiktoken.Encoding(
             "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={}
         )
-        self._clear()
+        self.first, self.later = _Words(self, ""), _Words(self, " ")
+        self.ids, self.starts = array("i"), array("q", [0])
+        self.kept: tuple[int, int, int] | None = None  # words and numbers to go back to, once full
 
     @cached_property
     def library(self) -> Tokenizer:
@@ -62,9 +64,17 @@ class ByteBpe:
         tokenizer.no_truncation()
         return tokenizer
 
-    def _clear(self) -> None:
-        self.first, self.later = _Words(self, ""), _Words(self, " ")
-        self.ids, self.starts = array("i"), array("q", [0])
+    def _forget(self) -> None:
+        """Drop what has come since the table was full."""
+        if self.kept is None:
+            if len(self.starts) > KEPT_WORDS:
+                self.kept = len(self.first), len(self.later), len(self.starts)
+            return
+        for words, most in zip((self.first, self.later), self.kept):
+            while len(words) > most:
+                words.popitem()
+        del self.starts[self.kept[2] :]
+        del self.ids[self.starts[-1] :]
 
     def add(self, ids: list[int]) -> int:
         self.ids.extend(ids)
@@ -73,8 +83,7 @@ class ByteBpe:
 
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """Ids of each text as int32. Null is encoded as the empty text."""
-        if len(self.starts) > KEPT_WORDS:
-            self._clear()
+        self._forget()
         numbers: list[np.ndarray] = []
         for text in texts:
             text = text or ""
