@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reposift.operators.history import REPO, commit_messages, file_history
 from reposift.operators.queue import claim, mark_completed, mark_error, release_stale
 from reposift.schemas import QUEUE_KEY
-from reposift.session import passing_tables, run_token, written_table
+from reposift.session import passing_tables, run_token, sized, written_table
 from reposift.sources.error_log import log_errors
 from reposift.sources.queue_table import (
     apply_change,
@@ -72,7 +72,7 @@ def _crawl(
         claimed = apply_change(
             spark, store, lambda q: claim(q, token, limit), pick=lambda v: v.with_pending(limit)
         )
-        batch = touched_rows(spark, store, claimed.segment).select(*QUEUE_KEY)
+        batch = sized(touched_rows(spark, store, claimed.segment).select(*QUEUE_KEY))
         owners = owner_range(batch)
         if owners is None:
             return False
@@ -80,9 +80,9 @@ def _crawl(
 
         good, of_good = batch, of_batch
         if failures is not None:
-            failures = of_batch(failures)
+            failures = sized(written_table(of_batch(failures), "failures"))
             failed = failures.select(*REPO).dropDuplicates()
-            good = written_table(batch.join(failed, REPO, "left_anti"), "good")
+            good = sized(written_table(batch.join(failed, REPO, "left_anti"), "good"))
             of_good = rows_of(good, owners)
         store_records(extract(good, owners), store, split, token)
         if "error" in commits.columns:

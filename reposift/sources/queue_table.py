@@ -27,6 +27,7 @@ from pyspark.sql.types import ArrayType, StructType
 from reposift.functions.status import queue_status
 from reposift.operators.report import details, report_of_counts
 from reposift.schemas import QUEUE, QUEUE_KEY
+from reposift.session import sized
 from reposift.sources.folders import create_once, delete, exists, names, read_text
 
 # A range is written anew when its log has as many segments, or so many rows for one of its base.
@@ -176,7 +177,7 @@ def _merged(spark: SparkSession, store: str, ranges: Sequence[Range]) -> DataFra
 
     Ranges without a log are their base. In the others, the latest row of a key in the log stands
     for the one of the base. The log is aggregated and joined by the key; only the base of ranges
-    that have a log is, and if the log is large, shuffled.
+    that have a log is, and if the log has many rows, shuffled.
     """
     columns = [*QUEUE.fieldNames(), F.col("range").alias(_RANGE)]
     busy = [r for r in ranges if r.log]
@@ -189,7 +190,7 @@ def _merged(spark: SparkSession, store: str, ranges: Sequence[Range]) -> DataFra
     row = F.struct(*_VALUES, F.col("range").alias(_RANGE))
     latest = log.groupBy(*QUEUE_KEY).agg(F.max_by(row, "version").alias("row"))
     latest = latest.select(*QUEUE_KEY, "row.*")
-    changed = latest.select(*[F.col(c).alias(f"_{c}") for c in QUEUE_KEY])
+    changed = sized(latest.select(*[F.col(c).alias(f"_{c}") for c in QUEUE_KEY]), sum(r.log_rows for r in busy))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in QUEUE_KEY]
     rows = base.join(changed, same, "left_anti").unionByName(latest)
     return rows if len(busy) == len(ranges) else quiet.unionByName(rows)
@@ -457,6 +458,7 @@ def _touched(state: Version, queue: DataFrame, change: Change) -> DataFrame:
     changed = change(given)
     if not {_WAS, _RANGE} <= set(changed.columns):
         before = given.select(*[F.col(c).alias(f"_{c}") for c in QUEUE_KEY], _WAS, _RANGE)
+        before = sized(before, sum(r.rows for r in state.ranges))
         same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in QUEUE_KEY]
         changed = changed.select(*QUEUE.fieldNames()).join(before, same, "left")
     values = ", ".join(_VALUES)

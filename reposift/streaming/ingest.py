@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 from reposift.operators.projects import DEFAULT_FILTERS, top_n_of
 from reposift.operators.queue import load_queue
 from reposift.plans.project_load import pairs_of_lines
-from reposift.sources.queue_table import change_queue
+from reposift.session import sized
+from reposift.sources.queue_table import change_queue, queue_version
 
 
 def add_lines(
@@ -21,10 +22,13 @@ def add_lines(
     languages: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add the pairs of one batch of lines, a source and a number, unless the ledger knows it."""
-    pairs = pairs_of_lines(lines, filters, languages)
-    return change_queue(
-        lines.sparkSession, store, lambda queue: load_queue(pairs, queue), batch=batch
-    )
+    spark, pairs = lines.sparkSession, pairs_of_lines(lines, filters, languages)
+
+    def loaded(queue: DataFrame) -> DataFrame:
+        rows = sum(r.rows for r in queue_version(spark, store).ranges)
+        return load_queue(pairs, sized(queue, rows))
+
+    return change_queue(spark, store, loaded, batch=batch)
 
 
 def ingest_project_lines(

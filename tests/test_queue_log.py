@@ -9,8 +9,9 @@ import pytest
 from reposift.functions.status import is_pending
 from reposift.operators import queue as q
 from reposift.operators import report
+from reposift.plans import crawl
 from reposift.schemas import QUEUE
-from reposift.session import written_table
+from reposift.session import sized, written_table
 from reposift.sources import folders
 from reposift.sources import queue_table as t
 from reposift.streaming.ingest import add_lines, ingest_project_lines
@@ -283,3 +284,14 @@ def test_micro_batches_beside_a_claimer(spark, tmp_path, store):
     assert queue.select("checkout_id").distinct().count() >= 1
     assert list(t.queue_version(spark, store).ledger.values()) == [3]
     figures_hold(spark, store)
+
+
+def test_large_logs_and_batches_are_not_sent_to_every_executor(spark, store):
+    pairs = spark.range(110_000).selectExpr("'owner' as owner", "'repo' || id as repo")
+    t.publish_queue(q.load_queue(pairs), store)
+    claimed = t.apply_change(spark, store, lambda queue: q.claim(queue, 1, None))
+    batch = sized(t.touched_rows(spark, store, claimed.segment).select("owner", "repo"))
+    of_batch = crawl.rows_of(batch, crawl.owner_range(batch))
+    for joined in (t.read_queue(spark, store), of_batch(pairs)):
+        plan = joined._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
