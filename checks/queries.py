@@ -234,7 +234,8 @@ def like_any(spark, sf_dir):
 
 @query
 def like_any_ignoring_case(spark, sf_dir):
-    hit = status.like_any(F.col("result"), ["%SERVICE%", "socket%closed"], ignore_case=True)
+    shouted = [pattern.swapcase() for pattern in status.RESET_PATTERNS]
+    hit = status.like_any(F.col("result"), shouted, ignore_case=True)
     return samples.queue(spark, sf_dir).filter(hit).select("owner", "repo", "result")
 
 

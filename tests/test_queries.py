@@ -38,6 +38,11 @@ def test_flagship(spark):
     assert rows(contract.entry(spark)) == [("PENDING", 375)]
 
 
+def test_patterns_without_case_find_all_passing_errors(spark):
+    found = rows(QUERIES["like_any_ignoring_case"](spark, DATA))
+    assert found == rows(QUERIES["like_any"](spark, DATA)) and len({r[2] for r in found}) == 13
+
+
 @pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
 def test_query(spark, connection, name):
     assert differences(spark, name, DATA, connection) is None
