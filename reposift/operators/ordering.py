@@ -124,20 +124,22 @@ def nth_row(df: DataFrame, n: int, order: Sequence[str]) -> Nth | None:
             .limit(SAMPLE)
         )
         sample = sorted((tuple(row) for row in drawn.collect()), key=_nulls_first)
-        total = seen.get["rows"] if sample else 0
-        if total < rank:
-            return None
-        if total <= SAMPLE:
+        # A task that runs again is observed again, so the observed rows only say where to look.
+        if len(sample) < SAMPLE:
+            if len(sample) < rank:
+                return None
             found = sample[rank - 1]
             first, last = sample.index(found), len(sample) - sample[::-1].index(found)
             return Nth(found, below + first, below + last)
-        splitters = _splitters(sample, rank / total)
+        splitters = _splitters(sample, min(1.0, rank / max(seen.get["rows"], SAMPLE)))
         keys = _literals(splitters, schema)
         place = F.expr(_place(0, len(splitters))).alias("place")
         counts = inside.select(key.alias("key"), keys.alias("keys")).groupBy(place).count().collect()
         rows = [0] * (2 * len(splitters) + 1)
         for place, count in counts:
             rows[place] = count
+        if sum(rows) < rank:
+            return None
         before = 0
         for place, count in enumerate(rows):
             if before + count >= rank:
