@@ -69,7 +69,8 @@ def snapshot_changes(
 
     The first snapshot is compared with nothing, so all its files are additions. A file that
     is listed twice in a snapshot counts once, with its largest hash; ``unique`` promises that
-    neither table repeats a key and saves the shuffle that looks for it.
+    neither table repeats a key and saves the work that looks for it. Copies of a file's row in one
+    snapshot meet in the window of the file, so no shuffle of the files is spent on them alone.
 
     ``repositories`` (owner, repo) restricts the log, after repeated commits are merged, and by
     its join the files.
@@ -89,7 +90,6 @@ def snapshot_changes(
     if not unique:
         rest = [c for c in log.columns if c not in [*REPO, "commit_id"]]
         log = log.groupBy(*REPO, "commit_id").agg(*[F.min(c).alias(c) for c in rest])
-        files = files.dropDuplicates()
     if repositories is not None:
         log = log.join(repositories.select(*REPO), REPO, "left_semi")
     log = written_table(number_rows(log, REPO, order, max_group), "log")
@@ -114,7 +114,7 @@ def snapshot_changes(
 
     along = Window.partitionBy(*REPO, "path", "run").orderBy("position", "hash_code")
     if not unique:
-        # Exact copies are gone; of several hashes in one snapshot the last is kept.
+        # Of exact copies, and of several hashes in one snapshot, the last is kept.
         following = F.lead("position").over(along)
         placed = placed.withColumn("following", following).filter(
             F.col("following").isNull() | (F.col("following") != position)

@@ -84,6 +84,18 @@ def test_copies_and_conflicts_count_once(spark):
     ]
 
 
+@pytest.mark.parametrize("cut", CUTS)
+def test_repeated_rows_change_nothing_and_cost_no_shuffle(spark, cut):
+    commits, files = log(spark, "c1", "c2", "c3"), trees(spark, c1={"a": "1"}, c2={"a": "2", "b": "1"}, c3={"b": "1"})
+    repeated = files.union(files).union(files)
+    assert changes(h.snapshot_changes(commits, repeated, **cut)) == changes(h.snapshot_changes(commits, files, **cut))
+    once, again = (
+        h.snapshot_changes(commits, repeated, unique=unique, **cut)._jdf.queryExecution().executedPlan().toString()
+        for unique in (True, False)
+    )
+    assert again.count("Exchange hash") == once.count("Exchange hash")
+
+
 def test_commits_of_one_second(spark):
     files = trees(spark, x={"a": "1"}, y={"a": "2"})
     same = log(spark, "y", "x").withColumn("commit_time_s", F.lit(5).cast("long"))
