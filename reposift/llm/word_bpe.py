@@ -22,8 +22,8 @@ from reposift.llm.common import CHUNK_CHARS, ready
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 # Words and pieces of text whose encodings a worker keeps; beyond, those that it met first.
-KEPT = 700_000
-KEPT_FIRST = 200_000
+KEPT = 1_200_000
+KEPT_FIRST = 600_000
 KEPT_PAIRS = 500_000
 
 # Characters that lower-casing, composition and letter classes treat as the library does, each of
@@ -67,7 +67,8 @@ class WordBpe:
         self.letters = byte_letters()
         self._merge_tables(bpe["merges"])
         plain = [t.removesuffix(self.end) for t in self.vocab]
-        self.begins = {t[:i] for t in plain for i in range(1, len(t) + 1)}
+        # The beginnings of tokens, with the token where one ends there.
+        self.begins = {b: self.vocab.get(b) for t in plain for b in (t[:i] for i in range(1, len(t) + 1))}
         self.table = [self.tokens.get(i, "") for i in range(max(self.tokens) + 1)]
         self.ends = {
             t.removesuffix(self.end): i for t, i in self.vocab.items() if t.endswith(self.end)
@@ -130,7 +131,7 @@ class WordBpe:
         if len(self.pairs) > KEPT_PAIRS:
             self.pairs.clear()
         found: dict[str, list[int]] = {}
-        vocab, ends, begins, pairs = self.vocab, self.ends, self.begins, self.pairs
+        ends, begins, pairs = self.ends, self.begins, self.pairs
         # The branch of the trie that the word before stands on. By number of letters: the last
         # token of the prefix, where it starts, and the starts from which it can still grow.
         last, starts, alive_at = [-1], [0], [()]
@@ -152,7 +153,7 @@ class WordBpe:
                         continue
                     ahead.append(at)
                     if token is None:
-                        token = vocab.get(part)
+                        token = begins[part]
                         if token is not None and at:
                             pair = last[at] << 20 | token
                             stays = pairs.get(pair)
@@ -199,30 +200,31 @@ class WordBpe:
         letters = self.letters
         return ["".join([letters[b] for b in word.encode()]) for word in words]
 
-    def _kept(self, word: str) -> dict[str, int]:
-        """Where a word's number is kept: ASCII is spelt alike, so such a word is a piece too."""
-        return self.pieces if word.isascii() else self.words
-
-    def _add(self, ids: list[int]) -> int:
-        self.ids.extend(ids)
-        self.starts.append(len(self.ids))
-        return len(self.starts) - 2
-
     def _learn(self, pieces: set[str]) -> None:
-        """Encode pieces of text (without white space) that are new."""
+        """Encode pieces of text (without white space) that are new.
+
+        ASCII is spelt alike, so the number of such a word is kept with the pieces.
+        """
+        own, others, all_ids, starts = self.pieces, self.words, self.ids, self.starts
         spelt = [(piece, self._words_of(piece)) for piece in pieces]
-        new = {word for _, words in spelt for word in words if word not in self._kept(word)}
+        new = {w for _, words in spelt for w in words if w not in (own if w.isascii() else others)}
         for word, ids in self.encode_words(new).items():
-            self._kept(word)[word] = self._add(ids)
+            (own if word.isascii() else others)[word] = len(starts) - 1
+            all_ids.fromlist(ids)
+            starts.append(len(all_ids))
         for piece, words in spelt:
-            numbers = [self._kept(word)[word] for word in words]
             if len(words) == 1:
-                self.pieces[piece] = numbers[0]
-            else:
-                ids: list[int] = []
-                for number in numbers:
-                    ids.extend(self.ids[self.starts[number] : self.starts[number + 1]])
-                self.pieces[piece] = self._add(ids)
+                word = words[0]
+                if word is not piece:
+                    own[piece] = (own if word.isascii() else others)[word]
+                continue
+            joined = array("i")
+            for word in words:
+                number = (own if word.isascii() else others)[word]
+                joined += all_ids[starts[number] : starts[number + 1]]
+            own[piece] = len(starts) - 1
+            all_ids += joined
+            starts.append(len(all_ids))
 
     def _pieces_of(self, text: str) -> list[str]:
         if not text.isascii():

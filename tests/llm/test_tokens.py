@@ -126,3 +126,12 @@ def test_words_forgotten_and_met_again(monkeypatch):
         for at in range(0, len(texts), 20):
             for text, ids in zip(texts[at : at + 20], ours.encode(texts[at : at + 20])):
                 assert ids.tolist() == expected.encode(text, add_special_tokens=False).ids
+
+
+def test_beginnings_name_the_token_that_ends_there():
+    model = word_bpe.bpe()
+    assert all(model.begins[b] == model.vocab.get(b) for b in model.begins)
+    words = ["hello", "hello,", "naïve", "x1"]
+    assert [a.tolist() for a in model.encode(words)] == [
+        model.library().encode(w, add_special_tokens=False).ids for w in words
+    ]
