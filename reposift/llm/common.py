@@ -79,14 +79,16 @@ def only(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.join(sent(ids), ids.columns[0], "left_semi")
 
 
-def chunks(batches: Iterator[pd.DataFrame], text: str = "text") -> Iterator[pd.DataFrame]:
-    """Pieces of the batches of about :data:`CHUNK_CHARS` characters, at least one row each."""
+def chunks(
+    batches: Iterator[pd.DataFrame], text: str = "text", chars: int = CHUNK_CHARS
+) -> Iterator[pd.DataFrame]:
+    """Pieces of the batches of about ``chars`` characters, at least one row each."""
     for batch in batches:
         sizes = np.cumsum([0 if t is None else len(t) for t in batch[text]], dtype=np.int64)
         start = 0
         while start < len(batch):
             before = sizes[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(sizes, before + CHUNK_CHARS, "right")))
+            end = max(start + 1, int(np.searchsorted(sizes, before + chars, "right")))
             yield batch.iloc[start:end]
             start = end
 

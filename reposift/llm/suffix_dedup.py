@@ -28,6 +28,9 @@ PASSAGE = 50  # words that a repeated passage has at least
 PREFIX = 20  # words by which suffixes are sorted
 SPAN = PASSAGE - PREFIX + 1  # prefixes in a passage; the smallest of them is retained
 
+# Texts that are hashed at once, in characters: their arrays take some forty times as many bytes.
+HASHED_CHARS = 250_000
+
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
     """``op`` over all runs of ``width`` values, in a logarithmic number of passes."""
@@ -50,7 +53,7 @@ def minimisers(prefixes: np.ndarray, span: int) -> np.ndarray:
 
 def _suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of texts with a passage at least: words, digest, and the sort keys of retained suffixes."""
-    for part in chunks(batches):
+    for part in chunks(batches, chars=HASHED_CHARS):
         found = []
         for row, doc_id, words in zip(part["row"], part["doc_id"], words_of_texts(part["text"].tolist())):
             if len(words) < PASSAGE:
@@ -65,7 +68,7 @@ def _suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _extended(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Passages that hold a shared suffix, left and right of its start: position and hash."""
-    for part in chunks(batches):
+    for part in chunks(batches, chars=HASHED_CHARS):
         found = []
         for row, doc_id, keys, words in zip(
             part["row"], part["doc_id"], part["keys"], words_of_texts(part["text"].tolist())
