@@ -16,7 +16,8 @@ from reposift.operators import contents as objects
 from reposift.operators import history, projects, queue, report
 from reposift.plans import contents as content_plans
 from reposift.plans import crawl, project_load
-from reposift.session import new_folder
+from reposift.schemas import QUEUE_KEY
+from reposift.session import new_folder, sized, written_table
 from reposift.sources import error_log, files, queue_table, run_store
 from reposift.streaming import ingest
 from reposift.streaming.ingest import ingest_project_lines
@@ -714,14 +715,24 @@ def crawl_file_contents_misses(spark, sf_dir):
     return error_log.read_misses(spark, store)
 
 
+def _failed_repositories(spark, sf_dir, store):
+    """Repositories of the users whose first two attempts failed; the queue has each of the log once.
+
+    Either side may have millions of rows in few bytes of files, so their rows decide on the join.
+    """
+    failed = tries.failures(tries.resolve_attempts(samples.attempts(spark, sf_dir), ["user_id"], 2))
+    owner = F.concat(F.lit("cust"), "user_id").alias("owner")
+    failed = sized(written_table(failed.select(owner, "error"), "failed"))
+    rows = sum(r.rows for r in queue_table.queue_version(spark, store).ranges)
+    return failed.join(sized(queue_table.read_queue(spark, store).select(*QUEUE_KEY), rows), "owner")
+
+
 @query
 def crawl_of_attempts(spark, sf_dir):
     """The outcome of a user's first two attempts is that of all their repositories."""
     log = samples.commits(spark, sf_dir)
     store = _crawl_store(spark, log)
-    failed = tries.failures(tries.resolve_attempts(samples.attempts(spark, sf_dir), ["user_id"], 2))
-    owner = F.concat(F.lit("cust"), "user_id").alias("owner")
-    failed = failed.select(owner, "error").join(log.select("owner", "repo").distinct(), "owner")
+    failed = _failed_repositories(spark, sf_dir, store)
     crawl.crawl_commit_messages(spark, store, log, failed, limit=None, token=TOKEN)
     return queue_table.read_queue(spark, store)
 

@@ -3,6 +3,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from checks.queries import QUERIES
 from reposift.operators import queue as q
 from reposift.operators import report
 from reposift.plans import crawl
@@ -189,3 +190,19 @@ def test_shared_folder_is_the_one_the_cluster_names():
     assert shared_dir(session_with({}, "/set/later")) == "/set/later/reposift/app-1"
     with pytest.raises(ValueError):
         shared_dir(session_with({}))
+
+
+def test_many_failed_owners_are_not_sent_to_every_executor(spark, tmp_path, monkeypatch):
+    many = spark.range(110_000)
+    many.selectExpr(
+        "id as event_id", "timestamp_ntz'2024-01-01' as ts", "id as user_id", "'error' as event_type", "'{}' as props"
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    many.selectExpr(
+        "id as o_orderkey", "id as o_custkey", "timestamp_ntz'2024-01-01' as o_orderdate", "'1' as o_orderpriority"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    given = []
+    monkeypatch.setattr(crawl, "crawl_commit_messages", lambda *args, **options: given.append(args[3]))
+    QUERIES["crawl_of_attempts"](spark, str(tmp_path))
+    plan = given[0]._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert given[0].count() == 110_000
